@@ -33,7 +33,10 @@ BITMAP_BITS = 28
 #: Leaves of an anchor beyond which its prefix is extended to whole windows.
 FREQUENT = 50_000
 #: Bytes of text whose windows are handled at once.
-BLOCK_BYTES = 24 << 20
+BLOCK_BYTES = 5 << 20
+
+#: Repeated leaves that a task remembers having sent.
+SENT_LEAVES = 500_000
 
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -47,7 +50,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
 class Words:
     """Word bytes to 64-bit digests, cached."""
 
-    def __init__(self, limit: int = 1_000_000):
+    def __init__(self, limit: int = 300_000):
         self.known, self.limit = {}, limit
 
     def __call__(self, words: list[bytes]) -> np.ndarray:
@@ -169,6 +172,8 @@ def _ranges(row: np.ndarray, first: np.ndarray, n: np.ndarray, wide: int) -> pa.
 def _leaves(window: int, gram: int, bits: int, held):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shared, often = (np.frombuffer(x, np.uint8) for x in held.value)
+        # leaves that came up repeatedly and were sent: digest (sorted) and smallest document
+        sent_leaf, sent_row = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         for b in _blocks(batches, window, gram):
             if not len(b.leaf_at):
                 continue
@@ -194,8 +199,17 @@ def _leaves(window: int, gram: int, bits: int, held):
             s, r = same[order], row[order]
             head = np.r_[True, s[1:] != s[:-1]]
             least = r[np.flatnonzero(head)][np.cumsum(head) - 1]
+            if len(sent_leaf):
+                k = np.minimum(np.searchsorted(sent_leaf, s), len(sent_leaf) - 1)
+                least = np.where(sent_leaf[k] == s, np.minimum(least, sent_row[k]), least)
             decided = order[r > least]
             sent = order[r == least]
+            often_here = np.flatnonzero(head & ~np.r_[head[1:], True])
+            leaf, low = np.r_[sent_leaf, s[often_here]], np.r_[sent_row, least[often_here]]
+            pick = np.lexsort((low, leaf))
+            pick = pick[np.r_[True, leaf[pick][1:] != leaf[pick][:-1]]] if len(pick) else pick
+            if len(pick) <= SENT_LEAVES:
+                sent_leaf, sent_row = leaf[pick], low[pick]
             route = np.where(frequent, w[begin] ^ anchor, anchor)
             if len(decided):
                 found = _ranges(row[decided], first[decided], n[decided], window)
@@ -247,7 +261,7 @@ def _subtrees(window: int):
         for batch in batches:
             held.append(batch)
             size += batch.num_rows
-            if size >= 400_000:
+            if size >= 200_000:
                 # cut at the last change of route, so that no group is divided
                 whole = pa.Table.from_batches(held).combine_chunks()
                 route = whole.column("route").to_numpy()
