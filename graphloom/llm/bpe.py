@@ -1,7 +1,7 @@
 """BPE encoding and decoding through a table of distinct words.
 
-1. Each block (input split) of documents is cut into words, and its distinct words are noted: one row for each
-   word and block, however often the word occurs there.
+1. Words common in a bounded sample are encoded first and go to all tasks. Each block (input split) of documents is
+   cut into words, and its other distinct words are noted: one row for each word and block, however often it occurs.
 2. These rows are shuffled and sorted by word. Every distinct word is encoded once by the tokenizers library, and its
    ids go back to the blocks that hold it, as one dictionary per block in the shared folder.
 3. Each block puts the ids of its words together by position, and decodes through the id-to-piece table.
@@ -14,14 +14,21 @@ encoded on the spot, so results never depend on how blocks are cut.
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
-from .units import Encoder, id_pieces
+from .units import Cutter, Encoder, id_pieces
+
+#: Documents looked at for common words, and words taken from them: a bounded table that goes to every task.
+COMMON_SAMPLE, COMMON_WORDS = 3000, 150_000
+#: Distinct words that a task holds at once while it notes them.
+NOTED_WORDS = 600_000
 
 
 def _with_blocks(docs: DataFrame) -> DataFrame:
@@ -36,24 +43,26 @@ def _with_blocks(docs: DataFrame) -> DataFrame:
         return common.materialize(docs).select("*", F.xxhash64("_metadata.file_path", "_metadata.file_block_start").alias("block"))
 
 
-def _note_words(path: str):
+def _note_words(path: str, common_words):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cut = Encoder(path).cutter.cut
+        cut, usual = Encoder(path).cutter.cut, common_words.value.keys()
         seen: dict[int, set[str]] = {}
 
         def rows():
             for block, words in seen.items():
-                found = list(words)
+                found = sorted(w for w in words if w not in usual)
                 for at in range(0, len(found), 20_000):
                     part = found[at : at + 20_000]
                     yield pa.RecordBatch.from_arrays([pa.array(part, pa.string()), pa.array([block] * len(part), pa.int64())], names=["word", "block"])
 
         for batch in batches:
-            for block, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                seen.setdefault(block, set()).update(cut(text))
-            if sum(map(len, seen.values())) > 1_500_000:  # bounds memory; a word may then be noted twice
-                yield from rows()
-                seen.clear()
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                for block, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                    seen.setdefault(block, set()).update(cut(text))
+                if sum(map(len, seen.values())) > NOTED_WORDS:  # bounds memory; a word may then be noted twice
+                    yield from rows()
+                    seen.clear()
         yield from rows()
 
     return run
@@ -65,16 +74,36 @@ def _encode_words(path: str):
         for batch in batches:
             words = batch.column(0).to_pylist()
             new = list(dict.fromkeys(w for w in words if w != last))
-            codes = {w: ",".join(map(str, x)) for w, x in zip(new, encoder.encode_units(new), strict=True)} if new else {}
+            codes = dict(zip(new, encoder.encode_bytes(new), strict=True)) if new else {}
             if words and words[0] == last:
                 codes[last] = ids
-            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(0), pa.array([codes[w] for w in words], pa.string())], names=["block", "word", "ids"])
+            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(0), pa.array([codes[w] for w in words], pa.binary())], names=["block", "word", "ids"])
             if words:
                 last, ids = words[-1], codes[words[-1]]
 
     return run
 
 
+def _common_words(docs: DataFrame, encoder: Encoder) -> dict[str, bytes]:
+    """Words that several of a bounded sample of documents hold, encoded once for all blocks: no more than COMMON_WORDS."""
+    ids = [r[0] for r in docs.where("doc_id is not null").select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(COMMON_SAMPLE).collect()]
+    if not ids:
+        return {}
+
+    cut = Cutter(encoder.cutter.added).cut
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: Counter[str] = Counter()
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                seen.update(set(cut(text)))
+        yield pa.RecordBatch.from_arrays([pa.array(seen.keys(), pa.string()), pa.array(seen.values(), pa.int64())], names=["word", "n"])
+
+    words = docs.where(F.col("doc_id").isin(ids)).select("text").mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    found = [r["word"] for r in words.where(F.length("word") < 100).orderBy(F.desc("n"), "word").limit(COMMON_WORDS).select("word").collect()]
+    return dict(zip(found, encoder.encode_bytes(found), strict=True)) if found else {}
+
+
 def _open(uri: str):
     from pyarrow import fs
 
@@ -82,46 +111,46 @@ def _open(uri: str):
     return system, path
 
 
-def _dictionary(uri: str, block: int) -> dict[str, str]:
+def _dictionary(uri: str, block: int) -> dict[str, bytes]:
     import pyarrow.parquet as pq
     from pyarrow import fs
 
     system, path = _open(f"{uri}/block={block}")
     if system.get_file_info(path).type == fs.FileType.NotFound:
         return {}
-    out: dict[str, str] = {}
+    out: dict[str, bytes] = {}
     for info in system.get_file_info(fs.FileSelector(path)):
         if info.base_name.endswith(".parquet"):
-            for batch in pq.ParquetFile(system.open_input_file(info.path)).iter_batches(columns=["word", "ids"]):
+            for batch in pq.ParquetFile(system.open_input_file(info.path)).iter_batches(20_000, columns=["word", "ids"]):
                 out.update(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
     return out
 
 
-def _apply(path: str, uri: str, digest: bool):
+def _apply(path: str, uri: str, common_words, digest: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, pieces = Encoder(path), id_pieces(path)
-        at, known, decoded, counts = None, {}, {}, {}
-        for batch in batches:
-            out = []
-            for doc_id, block, text in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-                if block != at:
-                    at, known, decoded, counts = block, _dictionary(uri, block), {}, {}
-                units = encoder.cutter.cut(text)
-                if missing := [u for u in set(units) if u not in known]:
-                    known.update((u, ",".join(map(str, x))) for u, x in zip(missing, encoder.encode_units(missing), strict=True))
-                for u in set(units):
-                    if u not in decoded:
-                        own = [int(x) for x in known[u].split(",") if x]
-                        decoded[u], counts[u] = b"".join([pieces[x] for x in own]), len(own)
-                ids = ",".join([x for u in units if (x := known[u])])
-                body = b"".join([decoded[u] for u in units]).decode("utf-8", "replace")
-                n = sum([counts[u] for u in units])
-                if digest:
-                    out.append((doc_id, n, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(body.encode()).hexdigest()))
-                else:
-                    out.append((doc_id, n, [int(x) for x in ids.split(",")] if ids else [], body))
-            kinds = [pa.int64(), pa.int64(), pa.string() if digest else pa.list_(pa.int32()), pa.string()]
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], kind) for k, kind in enumerate(kinds)], names=["doc_id", "n_tokens", *(("ids_sha256", "decoded_sha256") if digest else ("ids", "decoded"))])
+        encoder, pieces, usual = Encoder(path), id_pieces(path), common_words.value
+        names, kind = [str(k) for k in range(len(pieces))], encoder.id_type
+        at, known = None, {}
+        for whole in batches:
+            for start in range(0, whole.num_rows, 500):
+                batch, out = whole.slice(start, 500), []
+                for doc_id, block, text in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                    if block != at:
+                        at, known = block, {}
+                        known = _dictionary(uri, block)
+                    units = encoder.cutter.cut(text)
+                    missing = [u for u in set(units) if u not in usual and u not in known]
+                    if missing:
+                        known.update(zip(missing, encoder.encode_bytes(missing), strict=True))
+                    ids = np.frombuffer(b"".join([usual[u] if u in usual else known[u] for u in units]), kind).tolist()
+                    body = b"".join([pieces[k] for k in ids]).decode("utf-8", "replace")
+                    if digest:
+                        joined = ",".join([names[k] for k in ids])
+                        out.append((doc_id, len(ids), hashlib.sha256(joined.encode()).hexdigest(), hashlib.sha256(body.encode()).hexdigest()))
+                    else:
+                        out.append((doc_id, len(ids), ids, body))
+                kinds = [pa.int64(), pa.int64(), pa.string() if digest else pa.list_(pa.int32()), pa.string()]
+                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], of) for k, of in enumerate(kinds)], names=["doc_id", "n_tokens", *(("ids_sha256", "decoded_sha256") if digest else ("ids", "decoded"))])
 
     return run
 
@@ -136,15 +165,16 @@ def encode_decode(docs: DataFrame, tokenizer: str | None = None, digest: bool =
     path = tokenizer or common.tokenizer_path()
     docs = _with_blocks(docs)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "block", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    words = docs.select("block", "text").mapInArrow(_note_words(path), "word string, block long")
     spark = docs.sparkSession
+    usual = spark.sparkContext.broadcast(_common_words(docs, Encoder(path)))
+    words = docs.select("block", "text").mapInArrow(_note_words(path, usual), "word string, block long")
     uri = common.shared_dir(spark)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     by_word = words.repartition(n, "word").sortWithinPartitions("word")
-    coded = by_word.mapInArrow(_encode_words(path), "block long, word string, ids string")
+    coded = by_word.mapInArrow(_encode_words(path), "block long, word string, ids binary")
     coded.repartition(n, "block").write.option("compression", "zstd").partitionBy("block").parquet(uri)
     kinds = "doc_id long, n_tokens long, " + ("ids_sha256 string, decoded_sha256 string" if digest else "ids array<int>, decoded string")
-    return docs.select("doc_id", "block", "text").mapInArrow(_apply(path, uri, digest), kinds)
+    return docs.select("doc_id", "block", "text").mapInArrow(_apply(path, uri, usual, digest), kinds)
 
 
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

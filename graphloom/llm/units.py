@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
+
 _SPACE = r"\x09-\x0d\x20\x85\xa0  -     　"
 _IRREGULAR = re.compile(rf" [{_SPACE}]")
 _CUT = re.compile(rf"(?= [^{_SPACE}])")
@@ -44,6 +46,9 @@ class Encoder:
     """The tokenizers library's encoder, without special tokens, truncation and padding."""
 
     def __init__(self, path: str):
+        import os
+
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -51,6 +56,14 @@ class Encoder:
         self.tokenizer.no_padding()
         self.cutter = Cutter([t.content for t in self.tokenizer.get_added_tokens_decoder().values()])
 
+    @property
+    def id_type(self) -> str:
+        return "<u2" if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4"
+
+    def encode_bytes(self, units: list[str]) -> list[bytes]:
+        kind = self.id_type
+        return [np.asarray(x, kind).tobytes() for x in self.encode_units(units)]
+
     def encode_units(self, units: list[str]) -> list[list[int]]:
         found = self.tokenizer.encode_batch_fast([Cutter.source(u) for u in units], add_special_tokens=False)
         return [x.ids for x in found]
