@@ -24,7 +24,7 @@ SMOOTHING = 0.1
 ROUNDS, MIN_SHARE = 12, 0.03
 UNKNOWN = "und"
 #: Bytes of text that a kernel handles at once.
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 2 << 20
 
 
 def _byte_classes() -> np.ndarray:

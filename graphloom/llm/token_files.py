@@ -35,7 +35,7 @@ ENTRY = np.dtype([("doc_id", "<i8"), ("offset", "<u8"), ("bytes", "<u8"), ("ids"
 DICTIONARY_SAMPLE, DICTIONARY_BYTES = 400, 64 << 10
 #: Documents for each shard, about.
 SHARD_DOCS = 20_000
-CACHE_WORDS = 400_000
+CACHE_WORDS = 200_000
 
 
 def _fs(uri: str):
