@@ -26,7 +26,7 @@ from . import common
 from .units import Cutter, Encoder, id_pieces
 
 #: Documents looked at for common words, and words taken from them: a bounded table that goes to every task.
-COMMON_SAMPLE, COMMON_WORDS = 3000, 150_000
+COMMON_SAMPLE, COMMON_WORDS = 8000, 300_000
 #: Distinct words that a task holds at once while it notes them.
 NOTED_WORDS = 600_000
 
