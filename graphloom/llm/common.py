@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -74,3 +75,29 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)
+
+
+def slot(column: str, bits: int) -> F.Column:
+    return F.expr(f"cast(pmod(xxhash64({column}), {1 << bits}) as int)")
+
+
+def _pack_slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    maps: dict[int, np.ndarray] = {}
+    for batch in batches:
+        at = batch.column(0).to_numpy()
+        for s in np.unique(at >> 16):
+            maps.setdefault(int(s), np.zeros(1 << 16, bool))[at[(at >> 16) == s] & 0xFFFF] = True
+    for s, own in maps.items():
+        yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([np.packbits(own).tobytes()])], names=["slice", "bits"])
+
+
+def slot_bitmap(rows: DataFrame, column: str, bits: int):
+    """A broadcast bitmap of 2^bits slots with those of a column's values set; its size is fixed, whatever the rows."""
+    spark = rows.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    slots = rows.select(slot(column, bits).alias("slot")).distinct().repartition(n, F.shiftright("slot", 16))
+    packed = slots.mapInArrow(_pack_slots, "slice int, bits binary").toArrow()
+    out = bytearray(1 << (bits - 3))
+    for s, own in zip(packed.column(0).to_pylist(), packed.column(1).to_pylist(), strict=True):
+        out[s << 13 : (s + 1) << 13] = own
+    return spark.sparkContext.broadcast(bytes(out))

@@ -252,16 +252,6 @@ def _compare(least: list[tuple[int, int]], labelled: bool):
     return run
 
 
-def _pack_slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    maps: dict[int, np.ndarray] = {}
-    for batch in batches:
-        slot = batch.column(0).to_numpy()
-        for s in np.unique(slot >> 16):
-            maps.setdefault(int(s), np.zeros(1 << 16, bool))[slot[(slot >> 16) == s] & 0xFFFF] = True
-    for s, own in maps.items():
-        yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([np.packbits(own).tobytes()])], names=["slice", "bits"])
-
-
 def _full_sets(size: int, held):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest, bits = Words(), np.frombuffer(held.value, np.uint8)
@@ -310,14 +300,8 @@ def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, size: int,
     salted = pairs.join(per, "a").select("a", "b", F.expr(f"cast(pmod(xxhash64(b), 1 + n div {SALT_PAIRS}) as int)").alias("salt"))
     uses = salted.select("a", "salt", F.col("b").alias("cid")).unionByName(salted.select("a", "salt", F.col("a").alias("cid")).distinct())
     uses = common.materialize(uses)
-    slot = lambda c: F.expr(f"cast(pmod(xxhash64({c}), {1 << SLOT_BITS}) as int)")
-    firsts = classes.join(uses.select("cid").distinct(), "cid", "left_semi").select(slot("first").alias("slot")).distinct()
-    packed = firsts.repartition(n, F.shiftright("slot", 16)).mapInArrow(_pack_slots, "slice int, bits binary").toArrow()
-    bits = bytearray(1 << (SLOT_BITS - 3))
-    for s, own in zip(packed.column(0).to_pylist(), packed.column(1).to_pylist(), strict=True):
-        bits[s << 13 : (s + 1) << 13] = own
-    held = spark.sparkContext.broadcast(bytes(bits))
-    sets = docs.select(slot("doc_id").alias("slot"), F.col("text").cast("binary").alias("text")).mapInArrow(_full_sets(size, held), "set_of long, set binary")
+    held = common.slot_bitmap(classes.join(uses.select("cid").distinct(), "cid", "left_semi").select("first"), "first", SLOT_BITS)
+    sets = docs.select(common.slot("doc_id", SLOT_BITS).alias("slot"), F.col("text").cast("binary").alias("text")).mapInArrow(_full_sets(size, held), "set_of long, set binary")
     # equal sets of several documents are one row
     sets = sets.join(uses.select(F.col("cid").alias("set_of")).distinct(), "set_of", "left_semi").dropDuplicates(["set_of"])
     met = uses.join(sets, uses.cid == sets.set_of).select("a", "salt", "cid", "set", (F.col("cid") != F.col("a")).alias("second"))

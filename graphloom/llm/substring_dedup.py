@@ -30,6 +30,8 @@ from . import common
 WINDOW, GRAM = 13, 5
 #: Bits of the anchor bitmap (32 MB each for shared and frequent anchors); a bounded broadcast whatever the input.
 BITMAP_BITS = 28
+#: Bits of the bitmap of documents that lose words (16 MB).
+DOC_BITS = 27
 #: Leaves of an anchor beyond which its prefix is extended to whole windows.
 FREQUENT = 50_000
 #: Bytes of text whose windows are handled at once.
@@ -277,6 +279,17 @@ def _subtrees(window: int):
     return run
 
 
+def _marked(held, marked: bool):
+    """Documents whose slot is, or isn't, set in a bitmap."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.frombuffer(held.value, np.uint8)
+        for batch in batches:
+            yield batch.filter(pa.array(_test(bits, batch.column(0).to_numpy()) == marked))
+
+    return run
+
+
 def _merge_and_cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out = []
@@ -324,8 +337,15 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, bits
     docs = common.documents(docs)
     found = repeated_ranges(docs, window, gram, bits, frequent)
     found = found.groupBy(F.col("doc_id").alias("of")).agg(F.collect_list(F.struct("first", "last")).alias("found"))
-    joined = docs.select("doc_id", F.col("text").cast("binary").alias("text")).join(found.hint("shuffle_hash"), F.col("doc_id") == F.col("of"), "left")
-    return joined.select("doc_id", "text", "found").mapInArrow(_merge_and_cut, "doc_id long, n_words long, n_removed long, kept_text string")
+    found = common.materialize(found)
+    # documents that lose nothing needn't be shuffled; the bitmap may name too many, never too few
+    held = common.slot_bitmap(found.select("of"), "of", DOC_BITS)
+    slotted = docs.select(common.slot("doc_id", DOC_BITS).alias("slot"), "doc_id", F.col("text").cast("binary").alias("text"))
+    kinds = "slot int, doc_id long, text binary"
+    hit = slotted.mapInArrow(_marked(held, True), kinds).join(found.hint("shuffle_hash"), F.col("doc_id") == F.col("of"), "left").select("doc_id", "text", "found")
+    whole = slotted.mapInArrow(_marked(held, False), kinds).select("doc_id", "text", F.lit(None).cast(hit.schema["found"].dataType).alias("found"))
+    cut = "doc_id long, n_words long, n_removed long, kept_text string"
+    return hit.mapInArrow(_merge_and_cut, cut).unionByName(whole.mapInArrow(_merge_and_cut, cut))
 
 
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
