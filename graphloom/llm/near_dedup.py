@@ -8,8 +8,8 @@
    falls below the miss probability. Pairs aren't listed: a class that already hangs together with another isn't
    compared with it again, so a bucket gives a spanning set of survivors.
 4. Survivors are verified on the full sets. Where one fails, the bucket is gone through again with the verified
-   components, and then every surviving pair between different components is verified, so no link is lost to
-   the shortcut in 3.
+   components and the full sets at hand, and every survivor between components still apart is verified on the spot, so
+   no link is lost to the shortcut in 3 and only links leave the bucket.
 5. Links give components; documents get them back through their class.
 
 Buckets above ``block`` members are dealt over several tasks, each with the same pivots; what the pivots leave in
@@ -193,13 +193,29 @@ def spanning_candidates(sig: np.ndarray, least: list[tuple[int, int]]) -> list[t
     return pairs
 
 
-def remaining_candidates(sig: np.ndarray, label: np.ndarray, least: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """All surviving pairs between different components."""
+def settle(sig: np.ndarray, sets: list[np.ndarray], label: np.ndarray, least: list[tuple[int, int]], percent: int) -> list[tuple[int, int]]:
+    """Verified links that connect the components of a bucket: every survivor between components still apart is verified here."""
+    label, pairs = label.copy(), []
     values, sizes = np.unique(label, return_counts=True)
-    pairs, largest = [], values[sizes.argmax()]
+    largest = values[sizes.argmax()]
     for i in np.flatnonzero(label != largest).tolist():
-        others = np.flatnonzero((label != label[i]) & ((label == largest) | (np.arange(len(label)) > i)))
-        pairs += [(i, j) for j in others[_survivors(sig[i], sig[others], least)].tolist()]
+        others = np.flatnonzero(label != label[i])
+        if not len(others):
+            break
+        others = others[_survivors(sig[i], sig[others], least)]
+        for at in range(0, len(others), 256):
+            own = others[at : at + 256]
+            own = own[label[own] != label[i]]
+            if not len(own):
+                continue
+            found = np.concatenate([sets[j] for j in own.tolist()])
+            sizes_ = np.array([len(sets[j]) for j in own.tolist()])
+            k = np.minimum(np.searchsorted(sets[i], found), len(sets[i]) - 1)
+            both = np.add.reduceat((sets[i][k] == found).astype(np.int64), np.cumsum(sizes_) - sizes_)
+            for j in own[100 * both >= percent * (len(sets[i]) + sizes_ - both)].tolist():
+                if label[j] != label[i]:
+                    pairs.append((i, j))
+                    label[label == label[j]] = label[i]
     return pairs
 
 
@@ -224,7 +240,7 @@ def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.T
         yield pa.Table.from_batches(held)
 
 
-def _compare(least: list[tuple[int, int]], labelled: bool):
+def _compare(least: list[tuple[int, int]], percent: int | None = None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, a, b = [], [], []
 
@@ -239,7 +255,11 @@ def _compare(least: list[tuple[int, int]], labelled: bool):
             cid = cid[once]
             blobs = group.column("sig").to_pylist()
             sig = np.frombuffer(b"".join([blobs[k] for k in once.tolist()]), np.uint16).reshape(len(once), HASHES)
-            pairs = remaining_candidates(sig, group.column("label").to_numpy()[once], least) if labelled else spanning_candidates(sig, least)
+            if percent is None:
+                pairs = spanning_candidates(sig, least)
+            else:
+                sets = group.column("set").to_pylist()
+                pairs = settle(sig, [np.frombuffer(sets[k], np.uint64) for k in once.tolist()], group.column("label").to_numpy()[once], least, percent)
             key = group.column("key")[0].as_py()
             for i, j in pairs:
                 x, y = int(cid[i]), int(cid[j])
@@ -292,6 +312,14 @@ def _verify(percent: int):
     return run
 
 
+def _sets_of(docs: DataFrame, classes: DataFrame, cids: DataFrame, size: int) -> DataFrame:
+    """set_of, set: the full sets of the classes named, by another pass over the texts."""
+    held = common.slot_bitmap(classes.join(cids, "cid", "left_semi").select("first"), "first", SLOT_BITS)
+    sets = docs.select(common.slot("doc_id", SLOT_BITS).alias("slot"), F.col("text").cast("binary").alias("text")).mapInArrow(_full_sets(size, held), "set_of long, set binary")
+    # equal sets of several documents are one row
+    return sets.join(cids.select(F.col("cid").alias("set_of")), "set_of", "left_semi").dropDuplicates(["set_of"])
+
+
 def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
     """pairs (a, b) with ``linked``, by their full sets: each pair's sets meet once, a frequent first set is salted."""
     spark = docs.sparkSession
@@ -300,10 +328,7 @@ def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, size: int,
     salted = pairs.join(per, "a").select("a", "b", F.expr(f"cast(pmod(xxhash64(b), 1 + n div {SALT_PAIRS}) as int)").alias("salt"))
     uses = salted.select("a", "salt", F.col("b").alias("cid")).unionByName(salted.select("a", "salt", F.col("a").alias("cid")).distinct())
     uses = common.materialize(uses)
-    held = common.slot_bitmap(classes.join(uses.select("cid").distinct(), "cid", "left_semi").select("first"), "first", SLOT_BITS)
-    sets = docs.select(common.slot("doc_id", SLOT_BITS).alias("slot"), F.col("text").cast("binary").alias("text")).mapInArrow(_full_sets(size, held), "set_of long, set binary")
-    # equal sets of several documents are one row
-    sets = sets.join(uses.select(F.col("cid").alias("set_of")).distinct(), "set_of", "left_semi").dropDuplicates(["set_of"])
+    sets = _sets_of(docs, classes, uses.select("cid").distinct(), size)
     met = uses.join(sets, uses.cid == sets.set_of).select("a", "salt", "cid", "set", (F.col("cid") != F.col("a")).alias("second"))
     dealt = met.repartition(n, "a", "salt").sortWithinPartitions("a", "salt", "second").select("a", "salt", "cid", "set")
     return common.materialize(dealt.mapInArrow(_verify(percent), "a long, b long, linked boolean"))
@@ -339,12 +364,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, miss:
     least = least_matches(percent / 100, miss)
     sigs = classes.select(F.col("cid").alias("of"), "sig")
 
-    def compared(rows: DataFrame, labelled: bool) -> DataFrame:
-        columns = ["key", "blk", "cid", "sig", *(["label"] if labelled else [])]
-        dealt = rows.join(sigs, rows.cid == sigs.of).select(*columns).repartition(n, "key", "blk").sortWithinPartitions("key", "blk")
-        return common.materialize(dealt.mapInArrow(_compare(least, labelled), "key long, a long, b long"))
-
-    found = compared(members.select("key", "cid", "blk").unionByName(pivots), False)
+    dealt = members.select("key", "cid", "blk").unionByName(pivots).join(sigs, F.col("cid") == F.col("of")).select("key", "blk", "cid", "sig")
+    dealt = dealt.repartition(n, "key", "blk").sortWithinPartitions("key", "blk")
+    found = common.materialize(dealt.mapInArrow(_compare(least), "key long, a long, b long"))
     verified = _verified(docs, classes, found.select("a", "b").distinct(), shingle, percent)
     links = verified.where("linked").select("a", "b")
     labels = connected_components(links)
@@ -357,10 +379,13 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, miss:
     main = counts.groupBy("key").agg(F.max(F.struct("of_label", "label")).alias("m"), F.count("*").alias("labels")).where("labels > 1").select("key", F.col("m.label").alias("main"))
     named = named.join(main, "key")
     query = named.where("blocks > 1 and label <> main").select("key", "cid", "label", F.explode(F.expr("sequence(0, cast(blocks as int) - 1)")).alias("blk"))
-    rest = compared(named.select("key", "cid", "label", "blk").unionByName(query), True).select("a", "b").distinct()
-    rest = common.materialize(rest.join(verified.select("a", "b"), ["a", "b"], "left_anti"))
+    rest = common.materialize(named.select("key", "cid", "label", "blk").unionByName(query))
     if rest.limit(1).count():
-        more = _verified(docs, classes, rest, shingle, percent).where("linked").select("a", "b")
+        sets = _sets_of(docs, classes, rest.select("cid").distinct(), shingle)
+        full = sets.join(sigs, F.col("set_of") == F.col("of")).select("of", "sig", "set")
+        dealt = rest.join(full, F.col("cid") == F.col("of")).select("key", "blk", "cid", "label", "sig", "set")
+        dealt = dealt.repartition(n, "key", "blk").sortWithinPartitions("key", "blk")
+        more = common.materialize(dealt.mapInArrow(_compare(least, percent), "key long, a long, b long")).select("a", "b").distinct()
         labels = connected_components(links.unionByName(more))
 
     nodes = classes.select("cid", "first").join(labels, F.col("cid") == F.col("node"), "left").select("cid", "first", F.coalesce("label", "cid").alias("label"))
