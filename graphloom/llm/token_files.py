@@ -14,6 +14,7 @@ and their names ascend with them, so the ids of all documents stand in doc_id or
 from __future__ import annotations
 
 import hashlib
+import itertools
 import struct
 import uuid
 import zlib
@@ -35,7 +36,7 @@ ENTRY = np.dtype([("doc_id", "<i8"), ("offset", "<u8"), ("bytes", "<u8"), ("ids"
 DICTIONARY_SAMPLE, DICTIONARY_BYTES = 400, 64 << 10
 #: Documents for each shard, about.
 SHARD_DOCS = 20_000
-CACHE_WORDS = 200_000
+CACHE_WORDS = 700_000
 
 
 def _fs(uri: str):
@@ -54,7 +55,8 @@ class CachedEncoder:
         cut = [self.encoder.cutter.cut(x) for x in texts]
         cache = self.cache
         if len(cache) > CACHE_WORDS:
-            cache.clear()
+            # words met early are the common ones
+            self.cache = cache = dict(itertools.islice(cache.items(), CACHE_WORDS // 2))
         missing = list({u for units in cut for u in units if u not in cache})
         if missing:
             cache.update((u, np.asarray(x, np.uint32).tobytes()) for u, x in zip(missing, self.encoder.encode_units(missing), strict=True))
