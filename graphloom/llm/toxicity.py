@@ -8,6 +8,7 @@ these go through a logistic regression.
 
 from __future__ import annotations
 
+import itertools
 import math
 import re
 from collections import Counter
@@ -54,13 +55,13 @@ class Trie:
         # within one edit, word and term have a common string among themselves and what one deletion leaves of them
         long = [t for t in terms if len(t) >= FUZZY_LENGTH]
         self.near = {x for t in long for x in (t, *(t[:k] + t[k + 1 :] for k in range(len(t))))}
-        # and the first or the last two signs of the term stay in place
-        self.ends = {t[:2] for t in long}, {t[-2:] for t in long}
+        # and the first or the last signs of the term stay in place: half of its length
+        self.ends = {n: ({t[:n] for t in own}, {t[-n:] for t in own}) for n, own in ((2, [t for t in long if len(t) < 8]), (4, [t for t in long if len(t) >= 8])) if own}
         self.exact = {t: k for k, t in enumerate(terms)}
 
     def possible(self, word: str) -> bool:
         """False only for words further than one edit from every term."""
-        if word[:2] not in self.ends[0] and word[-2:] not in self.ends[1]:
+        if not any(word[:n] in heads or word[-n:] in tails for n, (heads, tails) in self.ends.items() if (len(word) <= 8 if n == 2 else len(word) >= 7)):
             return False
         near = self.near
         return word in near or any(word[:k] + word[k + 1 :] in near for k in range(len(word)))
@@ -107,11 +108,13 @@ class Scorer:
 
     def look(self, words: list[str]) -> None:
         if len(self.known) > 600_000:
-            self.known.clear()
+            # words met early are the common ones
+            self.known = dict(itertools.islice(self.known.items(), 300_000))
         for w in [w for w in set(words) if w not in self.known]:
-            plain = bare(w)
+            letters = w.isalpha()
+            plain = w if letters else bare(w)
             found = self.trie.match(plain) if plain else None
-            if found is None and _SIGNS.search(plain):
+            if found is None and not letters and _SIGNS.search(plain):
                 found = self.trie.match(bare(w.translate(DISGUISE)))
                 found = (found[0], 1) if found else None
             self.known[w] = None
