@@ -26,7 +26,7 @@ from . import common
 from .units import Cutter, Encoder, id_pieces
 
 #: Documents looked at for common words, and words taken from them: a bounded table that goes to every task.
-COMMON_SAMPLE, COMMON_WORDS = 8000, 300_000
+COMMON_SAMPLE, COMMON_WORDS = 8000, 250_000
 #: Distinct words that a task holds at once while it notes them.
 NOTED_WORDS = 600_000
 
@@ -100,7 +100,7 @@ def _common_words(docs: DataFrame, encoder: Encoder) -> dict[str, bytes]:
         yield pa.RecordBatch.from_arrays([pa.array(seen.keys(), pa.string()), pa.array(seen.values(), pa.int64())], names=["word", "n"])
 
     words = docs.where(F.col("doc_id").isin(ids)).select("text").mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    found = [r["word"] for r in words.where(F.length("word") < 100).orderBy(F.desc("n"), "word").limit(COMMON_WORDS).select("word").collect()]
+    found = words.where(F.length("word") < 100).orderBy(F.desc("n"), "word").limit(COMMON_WORDS).select("word").toArrow().column(0).to_pylist()
     return dict(zip(found, encoder.encode_bytes(found), strict=True)) if found else {}
 
 

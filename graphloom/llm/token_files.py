@@ -59,7 +59,9 @@ class CachedEncoder:
             self.cache = cache = dict(itertools.islice(cache.items(), CACHE_WORDS // 2))
         missing = list({u for units in cut for u in units if u not in cache})
         if missing:
-            cache.update((u, np.asarray(x, np.uint32).tobytes()) for u, x in zip(missing, self.encoder.encode_units(missing), strict=True))
+            for k in range(0, len(missing), 2000):
+                own = missing[k : k + 2000]
+                cache.update((u, np.array(x, np.uint32).tobytes()) for u, x in zip(own, self.encoder.encode_units(own), strict=True))
         return [np.concatenate([np.frombuffer(b"".join([cache[u] for u in units]), np.uint32), self.end]) for units in cut]
 
 

@@ -62,11 +62,14 @@ class Encoder:
 
     def encode_bytes(self, units: list[str]) -> list[bytes]:
         kind = self.id_type
-        return [np.asarray(x, kind).tobytes() for x in self.encode_units(units)]
+        return [np.asarray(x, kind).tobytes() for at in range(0, len(units), 2000) for x in self.encode_units(units[at : at + 2000])]
 
     def encode_units(self, units: list[str]) -> list[list[int]]:
-        found = self.tokenizer.encode_batch_fast([Cutter.source(u) for u in units], add_special_tokens=False)
-        return [x.ids for x in found]
+        out: list[list[int]] = []
+        for at in range(0, len(units), 2000):  # the library's encodings are large
+            found = self.tokenizer.encode_batch_fast([Cutter.source(u) for u in units[at : at + 2000]], add_special_tokens=False)
+            out += [x.ids for x in found]
+        return out
 
 
 def id_pieces(path: str) -> list[bytes]:
