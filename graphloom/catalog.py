@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import expr
-from .operators import graph, quality, vectors
+from .operators import graph, quality, vectors, walks
 from .operators.order import buffers
 from .plans import views
+from .streaming import online
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -315,6 +316,36 @@ def sbm_edges(spark: SparkSession, d: str) -> DataFrame:
     return i.join(F.broadcast(j), F.col("u") < F.col("v")).where(expr.uniform(3, F.col("u"), F.col("v")) < F.when(same, 0.1).otherwise(0.01)).select("u", "v")
 
 
+HOPS = f"""{G}, h AS (SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY dst) - 1 AS idx, count(*) OVER (PARTITION BY src) AS deg FROM adj),
+hops AS (SELECT a.src, a.idx, a.dst, b.idx AS back, b.deg AS ndeg FROM h a JOIN h b ON a.src = b.dst AND a.dst = b.src)"""
+
+
+@query(f"""WITH RECURSIVE {HOPS}, w(start, walk, step, cur, deg, back, path) AS (SELECT DISTINCT src, k, 0::BIGINT, src, deg, NULL::BIGINT, src::VARCHAR FROM h, range(2) r(k)
+UNION ALL SELECT d.start, d.walk, d.step + 1, hops.dst, hops.ndeg, hops.back, d.path || ' ' || hops.dst FROM (SELECT *, CASE WHEN back IS NULL THEN floor(x * deg) WHEN r < back * 2.0 THEN floor(r / 2.0) WHEN r < back * 2.0 + 0.25 THEN back ELSE back + 1 + floor((r - back * 2.0 - 0.25) / 2.0) END AS i
+FROM (SELECT *, x * ((deg - 1) * 2.0::DOUBLE + 0.25::DOUBLE) AS r FROM (SELECT *, ('0x' || substr(md5('7:' || start || ':' || walk || ':' || step), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS x FROM w WHERE step < 5))) d JOIN hops ON hops.src = d.cur AND hops.idx = least(d.i, d.deg - 1)) SELECT start, walk, path FROM w WHERE step = 5""")
+def random_walk(spark: SparkSession, d: str) -> DataFrame:
+    g = views.g_purchase(spark, d)
+    return walks.random_walks(g, graph.vertices(g), 2, 6, p=4.0, q=0.5).select("start", "walk", F.array_join("path", " ").alias("path"))
+
+
+@query(f"""WITH {S}, ad AS (SELECT src AS x, dest AS y FROM st WHERE op = 'ADD' UNION SELECT dest, src FROM st WHERE op = 'ADD'), act AS (SELECT DISTINCT x AS vertex FROM ad),
+sz AS (SELECT p.part, count(vertex) AS size FROM range(4) p(part) LEFT JOIN act ON vertex * vertex % 4 = part GROUP BY 1), cap AS (SELECT 1.05::DOUBLE * avg(size) AS cap FROM sz), n AS (SELECT x AS vertex, y * y % 4 AS part, count(*) AS n FROM ad GROUP BY 1, 2),
+sc AS (SELECT act.vertex, sz.part, coalesce(n, 0) - 0.05::DOUBLE * greatest(0, size - cap) AS score FROM act CROSS JOIN sz CROSS JOIN cap LEFT JOIN n ON n.vertex = act.vertex AND n.part = sz.part)
+SELECT vertex, part, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY vertex ORDER BY round(score, 6) DESC, part) AS r FROM sc) WHERE r <= 2""")
+def online_assign_rf(spark: SparkSession, d: str) -> DataFrame:
+    s = views.stream_all(spark, d)
+    ends = s.where("op = 'ADD'").select(F.explode(F.array("src", "dest")).alias("vertex")).distinct()
+    before = ends.select("vertex", (F.col("vertex") * F.col("vertex") % 4).cast("int").alias("part"))
+    return online.choose(online.score(s, before, 4, 0.05), 2).select("vertex", "part", F.round("score", 6).alias("score"))
+
+
+@query()
+def node2vec_embed(spark: SparkSession, d: str) -> DataFrame:
+    """Eight parts, each walked and trained by itself."""
+    g = views.g_purchase(spark, d)
+    return walks.node2vec(g, views.hashed(g, 8))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Folded event graph with degrees, label-propagation parts and the share of each part's edges that leave it."""
     g = graph.fold_events(views.stream_all(spark, sf_dir))
