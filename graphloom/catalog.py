@@ -346,6 +346,21 @@ def node2vec_embed(spark: SparkSession, d: str) -> DataFrame:
     return walks.node2vec(g, views.hashed(g, 8))
 
 
+@query(f"WITH RECURSIVE {G}, walk(id, r) AS (SELECT id, id FROM vs UNION SELECT w.id, a.dst FROM walk w JOIN adj a ON a.src = w.r), c AS (SELECT id, min(r) AS component FROM walk GROUP BY id) SELECT component, count(*) AS vertices FROM c GROUP BY component ORDER BY vertices DESC, component LIMIT 5")
+def topk_components(spark: SparkSession, d: str) -> DataFrame:
+    sizes = graph.components(views.g_purchase(spark, d)).groupBy("component").agg(F.count("*").alias("vertices"))
+    return sizes.orderBy(F.desc("vertices"), "component").limit(5)
+
+
+@query(f"WITH {E}, p AS (SELECT a.id, sum(a.c * b.c) AS dot, sum((a.c - b.c) * (a.c - b.c)) AS d, sqrt(sum(a.c * a.c)) * sqrt(sum(b.c * b.c)) AS n FROM x a JOIN x b ON b.id = a.id + 1 AND a.pos = b.pos GROUP BY a.id) SELECT id, round(sqrt(d), 6) AS l2, round(CASE WHEN n > 0 THEN dot / n ELSE 0 END, 6) AS cosine, round(greatest(0, 1 - CASE WHEN n > 0 THEN dot / n ELSE 0 END), 6) AS distance, round(1 / (1 + exp(-dot)), 6) AS link_score, 1 / (1 + exp(-dot)) > 0.5 AS linked FROM p")
+def pair_similarity(spark: SparkSession, d: str) -> DataFrame:
+    e = views.vectors(spark, d).select("id", "vec")
+    after = e.select((F.col("id") - 1).alias("id"), F.col("vec").alias("other"))
+    a, b = F.col("vec"), F.col("other")
+    p = e.join(after, "id").select("id", F.sqrt(expr.squared_l2(a, b)).alias("l2"), expr.cosine(a, b).alias("cosine"), (1 / (1 + F.exp(-expr.dot(a, b)))).alias("s"))
+    return p.select("id", F.round("l2", 6).alias("l2"), F.round("cosine", 6).alias("cosine"), F.round(F.greatest(F.lit(0.0), 1 - F.col("cosine")), 6).alias("distance"), F.round("s", 6).alias("link_score"), (F.col("s") > 0.5).alias("linked"))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Folded event graph with degrees, label-propagation parts and the share of each part's edges that leave it."""
     g = graph.fold_events(views.stream_all(spark, sf_dir))
