@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import expr
-from .operators import graph, quality, vectors, walks
+from .operators import communities, generators, graph, links, placement, quality, vectors, walks
 from .operators.order import buffers
 from .plans import views
 from .streaming import online
@@ -361,6 +361,91 @@ def pair_similarity(spark: SparkSession, d: str) -> DataFrame:
     return p.select("id", F.round("l2", 6).alias("l2"), F.round("cosine", 6).alias("cosine"), F.round(F.greatest(F.lit(0.0), 1 - F.col("cosine")), 6).alias("distance"), F.round("s", 6).alias("link_score"), (F.col("s") > 0.5).alias("linked"))
 
 
+def _u(*keys: str) -> str:
+    """SQL of a digest uniform over the keys, which are SQL expressions."""
+    return f"('0x' || substr(md5({" || ':' || ".join(keys)}), 1, 8))::BIGINT / 4294967296.0"
+
+
+@query(f"SELECT i AS u, j AS v FROM range(240) a(i), range(240) b(j) WHERE i < j AND {_u("'4'", 'i', 'j')} < CASE WHEN i // 60 = j // 60 THEN 0.2 ELSE 0.02 END")
+def planted_partition(spark: SparkSession, d: str) -> DataFrame:
+    return generators.planted_partition(spark, 4, 60, 0.2, 0.02, 4)
+
+
+@query(f"WITH b AS (SELECT i, CASE WHEN i < 40 THEN 0 WHEN i < 140 THEN 1 ELSE 2 END AS b FROM range(200) r(i)) SELECT x.i AS u, y.i AS v FROM b x, b y WHERE x.i < y.i AND {_u("'6'", 'x.i', 'y.i')} < [[0.5, 0.02, 0.01], [0.02, 0.2, 0.05], [0.01, 0.05, 0.3]][x.b + 1][y.b + 1]")
+def block_model(spark: SparkSession, d: str) -> DataFrame:
+    return generators.block_model(spark, [40, 100, 60], [[0.5, 0.02, 0.01], [0.02, 0.2, 0.05], [0.01, 0.05, 0.3]], 6)
+
+
+@query(f"WITH r AS (SELECT i, {_u("'5'", "'block'", 'i')} AS x FROM range(300) t(i)), b AS (SELECT i, CASE WHEN x < 0.25 THEN 0 WHEN x < 0.75 THEN 1 ELSE 2 END AS b FROM r) SELECT row_number() OVER (ORDER BY x.i, y.i) - 1 AS seq, x.i AS src, y.i AS dest, x.b AS src_block, y.b AS dest_block FROM b x, b y WHERE y.i < x.i AND {_u("'5'", 'x.i', 'y.i')} < CASE WHEN x.b = y.b THEN 0.1 ELSE 0.01 END")
+def block_stream(spark: SparkSession, d: str) -> DataFrame:
+    return generators.block_stream(spark, 300, [0.25, 0.5, 0.25], [[0.1 if a == b else 0.01 for b in range(3)] for a in range(3)])
+
+
+@query(f"WITH RECURSIVE w(src, en) AS (SELECT i, 2 * i + 1 FROM range(1, 5000) t(i) UNION ALL SELECT src, floor({_u("'11'", 'en')} * (en - 1))::BIGINT FROM w WHERE en % 2 = 1) SELECT src, en // 2 AS dest FROM w WHERE en % 2 = 0")
+def preferential_attachment(spark: SparkSession, d: str) -> DataFrame:
+    return generators.preferential_attachment(spark, 5000)
+
+
+@query(f"WITH {G} SELECT id AS vertex, ((row_number() OVER (ORDER BY ('0x' || substr(md5('1:' || id), 1, 15))::BIGINT) - 1) % 4)::INT AS part FROM vs")
+def random_parts(spark: SparkSession, d: str) -> DataFrame:
+    return communities.random_parts(graph.vertices(views.g_purchase(spark, d)), 4)
+
+
+@query()
+def local_fitness(spark: SparkSession, d: str) -> DataFrame:
+    return communities.local_fitness(views.g_purchase(spark, d), alpha=1.0, threshold=0.1)
+
+
+@query()
+def fitness_partition(spark: SparkSession, d: str) -> DataFrame:
+    return communities.partition(generators.planted_partition(spark, 4, 60, 0.2, 0.02, 4), 4, threshold=0.1)
+
+
+@query("WITH RECURSIVE e AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v FROM embeddings), pr AS (SELECT a.id AS i, b.id AS j FROM e a JOIN e b ON a.id <> b.id WHERE list_distance(a.v, b.v) <= 1.15), core AS (SELECT i AS id FROM pr GROUP BY i HAVING count(*) + 1 >= 3), r(a, b) AS (SELECT id, id FROM core UNION SELECT r.a, pr.j FROM r JOIN pr ON pr.i = r.b JOIN core ON core.id = pr.j), n AS (SELECT a AS id, min(b) AS cluster FROM r GROUP BY a), o AS (SELECT pr.i AS id, min(cluster) AS reach FROM pr JOIN n ON n.id = pr.j GROUP BY pr.i) SELECT e.id, coalesce(cluster, reach) AS cluster FROM e LEFT JOIN n ON n.id = e.id LEFT JOIN o ON o.id = e.id")
+def density_clusters(spark: SparkSession, d: str) -> DataFrame:
+    return placement.density_clusters(views.vectors(spark, d).select("id", "vec"), 1.15, 3)
+
+
+@query()
+def fill_nearest(spark: SparkSession, d: str) -> DataFrame:
+    e = views.vectors(spark, d)
+    c = vectors.merge_mean(e, "label").select(F.col("label").cast("int").alias("part"), F.col("vec").alias("c"))
+    sizes = e.groupBy(F.col("label").cast("int").alias("part")).agg(F.count("*").alias("size"))
+    return placement.fill_nearest(buffers(e, 1000, "id"), sizes.join(c, "part"), 1, 0.01)
+
+
+@query(f"WITH {S}, p AS (SELECT *, (row_number() OVER (ORDER BY seq) - 1) // 1000 AS buffer FROM st), w AS (SELECT least(src, dest) AS u, greatest(src, dest) AS v, exp(-0.3 * ((SELECT max(buffer) FROM p) - max(buffer))) AS w FROM p WHERE op = 'ADD' GROUP BY 1, 2), a AS (SELECT u AS vertex, v AS near, w FROM w UNION ALL SELECT v, u, w FROM w) SELECT vertex, (near % 4)::INT AS part, round(sum(w), 6) AS weight FROM a GROUP BY 1, 2")
+def decayed_neighbours(spark: SparkSession, d: str) -> DataFrame:
+    b = buffers(views.stream_all(spark, d), 1000, "seq")
+    every = b.select(F.explode(F.array("src", "dest")).alias("vertex")).distinct().withColumn("part", (F.col("vertex") % 4).cast("int"))
+    return online.decayed_neighbours(b, every, 0.3).select("vertex", "part", F.round("weight", 6).alias("weight"))
+
+
+@query(f"WITH {G}, p AS (SELECT id, row_number() OVER (ORDER BY id) - 1 AS pos FROM vs), x AS (SELECT id AS a, floor({_u("'17'", 'id', 's')} * (SELECT count(*) FROM vs))::BIGINT AS pos FROM vs, range(3) r(s)), y AS (SELECT DISTINCT least(a, p.id) AS u, greatest(a, p.id) AS v FROM x JOIN p USING (pos) WHERE a <> p.id) SELECT u, v FROM y EXCEPT SELECT u, v FROM g")
+def negative_pairs(spark: SparkSession, d: str) -> DataFrame:
+    return links.negative_pairs(views.g_purchase(spark, d), 3)
+
+
+@query(f"""WITH {G}, pos AS (SELECT u, v FROM g WHERE {_u("'23'", 'u', 'v')} < 0.1), k AS (SELECT u, v FROM g EXCEPT SELECT u, v FROM pos), n AS (SELECT u AS src, v AS dst FROM k UNION ALL SELECT v, u FROM k),
+places AS (SELECT id, row_number() OVER (ORDER BY id) - 1 AS pos FROM vs), e AS (SELECT vec_id AS id, embedding::DOUBLE[] AS x FROM embeddings),
+dr AS (SELECT u, v, s, floor({_u("'19'", 'u', 'v', 's')} * (SELECT count(*) FROM vs))::BIGINT AS pos FROM pos, range(20) r(s)),
+t AS (SELECT u, v, id AS t FROM dr JOIN places USING (pos) WHERE NOT EXISTS (SELECT 1 FROM n WHERE n.src = dr.u AND n.dst = places.id)),
+goal AS (SELECT u, v, round(coalesce(list_dot_product(a.x, b.x), 0), 6) AS goal FROM pos LEFT JOIN e a ON a.id = u LEFT JOIN e b ON b.id = v),
+sc AS (SELECT u, v, round(coalesce(list_dot_product(a.x, b.x), 0), 6) AS score FROM t LEFT JOIN e a ON a.id = u LEFT JOIN e b ON b.id = t)
+SELECT goal.u, goal.v, 1 + count(*) FILTER (score > goal) AS rank FROM goal LEFT JOIN sc ON sc.u = goal.u AND sc.v = goal.v GROUP BY 1, 2""")
+def corrupted_ranks(spark: SparkSession, d: str) -> DataFrame:
+    g = views.g_purchase(spark, d)
+    kept, held = links.hold_out(g, 0.1)
+    return links.rank_among_corrupted(views.vectors(spark, d).select("id", "vec"), kept, held, 20, 64)
+
+
+@query()
+def link_predictions(spark: SparkSession, d: str) -> DataFrame:
+    g, e = views.g_purchase(spark, d), views.vectors(spark, d).select("id", "vec")
+    pairs = g.withColumn("label", F.lit(1)).unionByName(links.negative_pairs(g, 3).withColumn("label", F.lit(0)))
+    return links.predict(pairs, e, links.train(pairs, e, 64), 64)
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Folded event graph with degrees, label-propagation parts and the share of each part's edges that leave it."""
     g = graph.fold_events(views.stream_all(spark, sf_dir))

@@ -116,3 +116,32 @@ def write_gml(vertices: DataFrame, edges: DataFrame, path: str) -> None:
     lines = lines.unionByName(edges.select(F.lit(2).alias("k"), F.format_string("  edge [ source %d target %d ]", "u", "v").alias("value")))
     lines = lines.unionByName(vertices.sparkSession.createDataFrame([(0, "graph ["), (3, "]")], "k int, value string"))
     lines.repartitionByRange("k", "value").sortWithinPartitions("k", "value").select("value").write.mode("overwrite").text(path)
+
+
+def write_event_binary(events: DataFrame, path: str) -> None:
+    """A folder of files of three native int32 each event (src, dest, ts); read by name, they are in seq order.
+
+    A task writes to a name of its own and moves it into place, so a task that runs again leaves one file.
+    """
+
+    def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+        from pyspark import TaskContext
+
+        store, folder = fs.FileSystem.from_uri(path)
+        store.create_dir(folder)
+        context = TaskContext.get()
+        name = f"{folder}/part-{context.partitionId():06d}.bin"
+        own, rows = f"{folder}/_{context.taskAttemptId()}", 0
+        with store.open_output_stream(own) as out:
+            for batch in batches:
+                block = np.column_stack([batch.column(k).to_numpy() for k in range(3)])
+                if block.size and (block.max() > 2147483647 or block.min() < -2147483648):
+                    raise ValueError("this format holds 32-bit values")
+                out.write(block.astype("=i4").tobytes())
+                rows += batch.num_rows
+        store.move(own, name)
+        yield pa.RecordBatch.from_arrays([pa.array([rows], pa.int64())], names=["rows"])
+
+    ordered = events.repartitionByRange("seq").sortWithinPartitions("seq").select(*[F.col(c).cast("long") for c in ("src", "dest", "ts")])
+    ordered.mapInArrow(put, "rows long").agg(F.sum("rows")).collect()

@@ -34,6 +34,19 @@ def score(buffer: DataFrame, assign: DataFrame, parts: int, mu: float = 0.5, sla
     return grid.join(n, ["vertex", "part"], "left").select("vertex", "part", (F.coalesce("n", F.lit(0)) - F.col("fine")).alias("score"))
 
 
+def decayed_neighbours(events: DataFrame, assign: DataFrame, decay: float) -> DataFrame:
+    """vertex, part, weight: neighbours in a part, each by exp(-decay * age) of the last buffer that added the edge.
+
+    events(buffer, src, dest, op) are all remembered so far; age counts buffers from the latest one.
+    """
+    adds = events.where("op = 'ADD' and src <> dest").groupBy(F.least("src", "dest").alias("u"), F.greatest("src", "dest").alias("v")).agg(F.max("buffer").alias("seen"))
+    now = events.agg(F.max("buffer").alias("now"))  # one row
+    weighed = adds.crossJoin(F.broadcast(now)).withColumn("w", F.exp(F.lit(-decay) * (F.col("now") - F.col("seen"))))
+    near = weighed.select("u", "v", "w").unionByName(weighed.select(F.col("v").alias("u"), F.col("u").alias("v"), "w"))
+    held = assign.select(F.col("vertex").alias("v"), "part")
+    return near.join(held, "v").groupBy(F.col("u").alias("vertex"), "part").agg(F.sum("w").alias("weight"))
+
+
 def choose(scores: DataFrame, replicas: int = 1) -> DataFrame:
     """The best parts of each vertex, ties to the smaller part."""
     best = Window.partitionBy("vertex").orderBy(F.round("score", 6).desc(), "part")
