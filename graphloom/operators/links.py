@@ -65,6 +65,36 @@ def predict(pairs: DataFrame, emb: DataFrame, model, dim: int, kind: str = "prod
     return model.transform(rows).select("u", "v", p.alias("probability"), (p > 0.5).alias("linked"))
 
 
+def log_loss(labelled: DataFrame, predicted: DataFrame) -> float | None:
+    """Mean logistic loss of predicted(u, v, probability) against labelled(u, v, label); None without rows."""
+    p = F.greatest(F.lit(1e-12), F.least(F.lit(1 - 1e-12), F.col("probability")))
+    loss = F.when(F.col("label") == 1, -F.log(p)).otherwise(-F.log(1 - p))
+    return labelled.join(predicted, ["u", "v"]).agg(F.avg(loss)).first()[0]
+
+
+def best_of(labelled: DataFrame, emb: DataFrame, dim: int, tries: int = 3, share: float = 0.2, kind: str = "product", seed: int = 29):
+    """The model with the least validation loss among ``tries`` digest splits, and that loss."""
+    best = None
+    for k in range(tries):
+        fit, check = hold_out(labelled, share, seed + k)
+        model = train(fit, emb, dim, kind)
+        loss = log_loss(check, predict(check, emb, model, dim, kind))
+        if loss is not None and (best is None or loss < best[1]):
+            best = (model, loss)
+    if best is None:
+        raise ValueError("no split has validation pairs")
+    return best
+
+
+def ensemble(pairs: DataFrame, predictions: list[DataFrame]) -> DataFrame:
+    """u, v, probability, linked: the mean over the predictions that know a pair; 0 and false where none does."""
+    rows = pairs.select("u", "v", F.lit(None).cast("double").alias("probability"))
+    for one in predictions:
+        rows = rows.unionByName(one.join(pairs.select("u", "v"), ["u", "v"], "left_semi").select("u", "v", "probability"))
+    p = F.coalesce(F.avg("probability"), F.lit(0.0))
+    return rows.groupBy("u", "v").agg(p.alias("probability")).withColumn("linked", F.col("probability") > 0.5)
+
+
 def rank_among_corrupted(emb: DataFrame, edges: DataFrame, positives: DataFrame, draws: int, dim: int, seed: int = 19) -> DataFrame:
     """u, v, rank: 1 + the corrupted tails that score higher by dot product, of ``draws`` drawn tails that u has no edge to."""
     at = with_position(graph.vertices(edges.unionByName(positives.select("u", "v"))), "id")

@@ -98,6 +98,8 @@ def test_link_predictor_tells_cliques_apart(spark, cliques):
         model = links.train(pairs, emb, 2, kind)
         got = links.predict(pairs, emb, model, 2, kind).join(pairs, ["u", "v"])
         assert got.where("linked <> (label = 1)").count() == 0, kind
+    model, loss = links.best_of(pairs, emb, 2, 2)
+    assert loss < 0.2 and links.predict(pairs, emb, model, 2).where("linked").count() == 30
     with pytest.raises(ValueError):
         links.pair_features(links.with_vectors(pairs, emb, 2), "other")
 
@@ -123,3 +125,11 @@ def test_sweep_sums_and_resumes(spark, tmp_path):
         out = sweeps.sweep(spark, f"file://{tmp_path}", square, sweeps.grid(x=[1, 2], y=10))
         assert out.agg(F.sum("f")).first()[0] == 25
     assert ran == [1, 2]
+
+
+def test_ensemble_means(spark):
+    pairs = spark.createDataFrame([(1, 2), (1, 3), (2, 3)], "u long, v long")
+    one = spark.createDataFrame([(1, 2, 0.9), (1, 3, 0.2), (8, 9, 1.0)], "u long, v long, probability double")
+    two = spark.createDataFrame([(1, 2, 0.5)], "u long, v long, probability double")
+    got = {(r.u, r.v): (round(r.probability, 6), r.linked) for r in links.ensemble(pairs, [one, two]).collect()}
+    assert got == {(1, 2): (0.7, True), (1, 3): (0.2, False), (2, 3): (0.0, False)}
