@@ -61,13 +61,13 @@ def uniform(doc_id: F.Column, seed: str = "mix") -> F.Column:
     return (bits + 1.0) / float(1 << 48)
 
 
-def mix(sized: DataFrame, weights=WEIGHTS, share: float = 1.0, cap: float = MAX_EPOCHS, buckets: int = BUCKETS, seed: str = "mix") -> DataFrame:
+def mix(sized: DataFrame, weights=WEIGHTS, share: float = 1.0, cap: float = MAX_EPOCHS, buckets: int = BUCKETS, seed: str = "mix", ties: tuple[str, ...] = ()) -> DataFrame:
     """sized (doc_id, source, size, weight and more) with source_size, target, epochs and taken.
 
     taken = epochs * size, plus what the fractional selection takes of the document: documents in key order until
     the rest of the target, rounded down to words, is used up; the document at the border gives only the words still
     wanted. A null or non-positive weight counts as 1. Ties in the key fall back to doc_id; rows that repeat a
-    doc_id and size are alike and take their turns one after the other. Sources that hold no word take nothing.
+    doc_id and size take their turns one after the other, by the columns ``ties``; without these they are alike. Sources that hold no word take nothing.
     The few rows of source totals come to the driver: one row per source.
     """
     spark = sized.sparkSession
@@ -83,7 +83,7 @@ def mix(sized: DataFrame, weights=WEIGHTS, share: float = 1.0, cap: float = MAX_
     plan = plan.withColumnRenamed("source", "by")
     before = parts.withColumn("before", F.sum("bucket_size").over(Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)))
     before = before.select(F.col("source").alias("s2"), F.col("bucket").alias("b2"), F.coalesce("before", F.lit(0)).alias("before"))
-    inside = Window.partitionBy("source", "bucket").orderBy("es_key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("source", "bucket").orderBy("es_key", "doc_id", "size", *ties).rowsBetween(Window.unboundedPreceding, -1)
     rows = sized.withColumn("inside", F.coalesce(F.sum("size").over(inside), F.lit(0)))
     rows = rows.join(before, F.col("source").eqNullSafe(F.col("s2")) & (F.col("bucket") == F.col("b2"))).join(plan, same)
     epochs = F.when(F.col("source_size") > 0, F.least(F.floor(F.col("target") / F.col("source_size")), F.lit(int(cap)))).otherwise(0).cast("long")
@@ -101,8 +101,8 @@ def quality_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return labels.select(F.col("doc_id").cast("long").alias("label_id"), F.when(F.col("q") == 1, 2.0).when(F.col("q") == 0, 0.5).otherwise(1.0).alias("weight"))
 
 
-def sized_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    sized = word_counts(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", "text"))
+def sized_documents(spark: SparkSession, docs: DataFrame, sf_dir: str, *extra: str) -> DataFrame:
+    sized = word_counts(docs.select(F.col("doc_id").cast("long").alias("doc_id"), *extra, "source", "text"))
     weights = quality_weights(spark, sf_dir)
     return sized.join(weights, sized.doc_id == weights.label_id, "left").drop("label_id").withColumn("weight", F.coalesce("weight", F.lit(1.0)))
 
