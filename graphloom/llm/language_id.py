@@ -9,7 +9,6 @@ that EM gives a share. All documents of a block are estimated at once.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -146,12 +145,10 @@ def infer(texts: list[bytes], logp: np.ndarray) -> np.ndarray:
 
 
 def _predict(langs: list[str], logp: np.ndarray, carry: bool):
-    letter = re.compile(r"[^\W\d_]")
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(1).to_pylist()
-            given = [x is not None and any(m.isalpha() for m in letter.findall(x[:200]) or letter.findall(x)) for x in texts]
+            given = [x is not None and any(map(str.isalpha, x)) for x in texts]
             pi = infer([(x or "").encode() for x in texts], logp) if langs else np.zeros((len(texts), 1), np.float32)
             top, share = pi.argmax(1), pi.max(1)
             pred = [(langs[k] if s > 0 else langs[0]) if ok and langs else UNKNOWN for k, s, ok in zip(top.tolist(), share.tolist(), given, strict=True)]

@@ -193,3 +193,10 @@ def test_toxicity(spark, docs, none):
     got = toxicity.score(docs, labels).collect()
     assert len(got) == len(texts()) and all(0 <= r["score"] < 0.7 for r in got)
     assert toxicity.score(none, labels).count() == 0
+
+
+def test_language_looks_at_whole_texts(spark):
+    signs = ["² " + "1 " * 150 + "hello world", "½ " * 300 + "x", "Ⅳ ① ² 12"]
+    rows = [(k, t, None, None, 1, True, "") for k, t in enumerate(signs)] + [(7, "hello world of letters", "en", "a", 1, True, ""), (8, "hello again world", "en", "a", 1, True, ""), (9, "hello world", "en", "a", 1, True, "")]
+    got = {r["doc_id"]: (r["lang_pred"], r["score"] > 0) for r in language_id.identify(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert [got[k] for k in range(3)] == [("en", True), ("en", True), ("und", False)]
