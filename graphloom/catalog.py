@@ -398,7 +398,7 @@ def local_fitness(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def fitness_partition(spark: SparkSession, d: str) -> DataFrame:
-    return communities.partition(generators.planted_partition(spark, 4, 60, 0.2, 0.02, 4), 4, threshold=0.1)
+    return communities.partition(views.g_purchase(spark, d), 4, threshold=0.1)
 
 
 @query("WITH RECURSIVE e AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v FROM embeddings), pr AS (SELECT a.id AS i, b.id AS j FROM e a JOIN e b ON a.id <> b.id WHERE list_distance(a.v, b.v) <= 1.15), core AS (SELECT i AS id FROM pr GROUP BY i HAVING count(*) + 1 >= 3), r(a, b) AS (SELECT id, id FROM core UNION SELECT r.a, pr.j FROM r JOIN pr ON pr.i = r.b JOIN core ON core.id = pr.j), n AS (SELECT a AS id, min(b) AS cluster FROM r GROUP BY a), o AS (SELECT pr.i AS id, min(cluster) AS reach FROM pr JOIN n ON n.id = pr.j GROUP BY pr.i) SELECT e.id, coalesce(cluster, reach) AS cluster FROM e LEFT JOIN n ON n.id = e.id LEFT JOIN o ON o.id = e.id")

@@ -6,8 +6,9 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from graphloom.operators import communities, generators, links, placement
-from graphloom.plans import sweeps
+from graphloom import catalog
+from graphloom.operators import communities, generators, graph, links, placement
+from graphloom.plans import sweeps, views
 from graphloom.sources import files
 
 CLIQUES = [(u + 10 * c, v + 10 * c) for c in (0, 1) for u in range(6) for v in range(u + 1, 6)]
@@ -56,6 +57,15 @@ def test_threshold_one_grows_nothing(spark, cliques):
     assert all(r.vertex == r.community for r in communities.local_fitness(cliques, threshold=1.0).collect())
 
 
+def test_fitness_partition_covers_planted_and_events_graphs(spark):
+    planted = generators.planted_partition(spark, 4, 60, 0.2, 0.02, 4)
+    rows = communities.partition(planted, 4, threshold=0.1).collect()
+    assert {r.vertex for r in rows} == {r.id for r in graph.vertices(planted).collect()} and {r.part for r in rows} <= set(range(4))
+    d = "/root/testdata/sf0.001"
+    found = catalog.QUERIES["fitness_partition"](spark, d).collect()
+    assert {r.vertex for r in found} == {r.id for r in graph.vertices(views.g_purchase(spark, d)).collect()}
+
+
 def test_pack_bins(spark):
     sizes = spark.createDataFrame([(k, n) for k, n in enumerate([9, 7, 6, 5, 4, 3, 2])], "community long, size long")
     rows = communities.pack_bins(sizes, 3).join(sizes, "community").groupBy("bin").agg(F.sum("size").alias("n")).collect()
