@@ -184,11 +184,12 @@ def spanning_candidates(sig: np.ndarray, least: list[tuple[int, int]]) -> list[t
             reach(i)
         else:
             waiting.append(i)
+    values, sizes = np.unique(label, return_counts=True)
+    largest = label == values[sizes.argmax()] if n else label  # as it is now: its rows are met from the other side, whatever merges later
     for i in waiting:
         if (label == label[0]).all():
             break
-        values, sizes = np.unique(label, return_counts=True)
-        if label[i] != values[sizes.argmax()]:  # pairs with the largest are met from the other side
+        if not largest[i]:
             reach(i)
     return pairs
 

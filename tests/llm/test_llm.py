@@ -70,6 +70,22 @@ def test_near(docs, none, size, block):
     assert near_dedup.near_duplicates(none).count() == 0
 
 
+def test_spanning_candidates_cut_nothing_off(monkeypatch):
+    rng = random.Random(11)
+    graphs = [(6, {(0, 2), (3, 4), (1, 5), (2, 5), (4, 5)})]
+    for _ in range(2000):
+        n = rng.randint(4, 12)
+        graphs.append((n, {tuple(sorted(rng.sample(range(n), 2))) for _ in range(rng.randint(2, n))}))
+    for n, edges in graphs:
+        near = lambda one, many, least: np.array([k for k, x in enumerate(many[:, 0].tolist()) if tuple(sorted((one[0], x))) in edges], int)  # noqa: B023, E731
+        monkeypatch.setattr(near_dedup, "_survivors", near)
+        label = list(range(n))
+        for i, j in near_dedup.spanning_candidates(np.arange(n)[:, None], []):
+            assert tuple(sorted((i, j))) in edges
+            label = [label[i] if k == label[j] else k for k in label]
+        assert all(label[i] == label[j] for i, j in edges)
+
+
 def test_posterior():
     for n, m in near_dedup.least_matches(0.8, 1e-5):
         assert 0 < m < 0.8 * n
