@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from graphloom.llm import bpe, common, exact_dedup, language_id, mixing, near_dedup
 
-#: Documents whose main language has a smaller share of their words are rejected, as are those without letters.
+#: Documents whose main language has a smaller share are rejected. Shares sum to 1, so with four languages or fewer none is.
 MIN_LANGUAGE_SHARE = 0.25
 
 
@@ -27,7 +27,7 @@ def _with_rows(docs: DataFrame) -> DataFrame:
 
 
 def by_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents without a recognisable language. Every row is judged by itself and gets its ROW, whether its doc_id is null or occurs again."""
+    """Rejects documents without a letter (``und``); the least share rejects none more unless there are over four languages. Every row is judged by itself and gets its ROW, whether its doc_id is null or occurs again."""
     found = language_id.identify(docs, carry=True)
     found = found.where((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= MIN_LANGUAGE_SHARE))
     return _columns(found.withColumn(ROW, F.monotonically_increasing_id()), ROW)
