@@ -1,7 +1,7 @@
 """MinHash near-duplicate detection with sequential Bayesian verification.
 
 1. One pass over the texts gives each document its set of word shingles as 64-bit digests, the set's size, a digest
-   of the whole set and a signature of minima. Documents with equal sets form a class; only classes go on.
+   of the whole set (128 bits) and a signature of minima. Documents with equal sets form a class; only classes go on.
 2. Bands of the signature put classes into buckets. Buckets with the same members are one bucket.
 3. Within a bucket, signatures are compared batch by batch. After m matches among n hashes, the posterior of the
    similarity under a uniform prior is Beta(m + 1, n - m + 1); a pair goes when its chance to reach the threshold
@@ -28,13 +28,15 @@ from pyspark.sql import functions as F
 
 from . import common
 from .components import connected_components
-from .substring_dedup import Words, _A, _B, _mix
+from .words import A, B, Words, mix
 
 BANDS, ROWS = 32, 4
 HASHES = BANDS * ROWS
 BATCH = 32
 MISS = 1e-5
 BLOCK = 2048
+#: Bytes of text whose sets are made at once, and of texts whose full sets are.
+BLOCK_BYTES = 4 << 20
 #: Slots of the bitmap that names the documents to be verified: 2 MB, whatever the input.
 SLOT_BITS = 24
 SALT_PAIRS = 500
@@ -57,47 +59,61 @@ def least_matches(threshold: float, miss: float = MISS, hashes: int = HASHES, ba
     return out
 
 
-def shingle_set(h: np.ndarray, size: int) -> np.ndarray:
-    """Sorted distinct digests of the ``size``-word shingles; fewer words are one shingle."""
-    if not len(h):
-        return np.zeros(0, np.uint64)
-    size = min(size, len(h))
-    out = np.zeros(len(h) - size + 1, np.uint64)
-    for k in range(size):
-        out = out * _A + h[k : k + len(out)]
-    out = np.sort(_mix(out + np.uint64(size)))
-    return out[np.r_[True, out[1:] != out[:-1]]]
-
-
-def _sets(texts: list[bytes], digest: Words, size: int) -> list[np.ndarray]:
-    split = [t.lower().split() for t in texts]
-    h = digest([w for x in split for w in x])
-    ends = np.cumsum([0, *map(len, split)])
-    return [shingle_set(h[a:b], size) for a, b in zip(ends[:-1], ends[1:], strict=True)]
-
+def shingle_sets(texts: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(digests, ends): the sorted distinct digests of each text's ``size``-word shingles, one text after the other.
 
-def _class_id(s: np.ndarray) -> int:
-    one, two = (np.add.reduce(_mix(s ^ k), keepdims=True) for k in (_A, _B))
-    return int(_mix(one * _B + _mix(two * _A + np.array([len(s)], np.uint64)))[0].view(np.int64))
-
-
-def signatures(sets: list[np.ndarray]) -> np.ndarray:
+    A-Z count as a-z; fewer words are one shingle.
+    """
+    words = Words(texts)
+    h, doc = words.digests(fold=True), words.doc
+    out = np.zeros(max(0, len(h) - size + 1), np.uint64)
+    for k in range(size):
+        out *= A
+        out += h[k : k + len(out)]
+    at = np.flatnonzero(doc[: len(out)] == doc[size - 1 : size - 1 + len(out)])
+    found, of = mix(out[at] + np.uint64(size)), doc[at]
+    for n in range(1, size):
+        few = np.flatnonzero(words.sizes == n)
+        if len(few):
+            one = np.zeros(len(few), np.uint64)
+            for k in range(n):
+                one = one * A + h[words.begin[few] + k]
+            found, of = np.r_[found, mix(one + np.uint64(n))], np.r_[of, few]
+    if (of[1:] < of[:-1]).any():
+        order = np.argsort(of, kind="stable")
+        found, of = found[order], of[order]
+    cuts = np.searchsorted(of, np.arange(len(words.sizes) + 1)).tolist()
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        found[a:b].sort()
+    new = np.ones(len(found), bool)
+    new[1:] = (found[1:] != found[:-1]) | (of[1:] != of[:-1])
+    return found[new], np.searchsorted(of[new], np.arange(len(words.sizes) + 1))
+
+
+def class_digests(x: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """128 bits for each set that isn't empty: two sums of unlike mixes of its digests, and its size."""
+    if len(ends) < 2:
+        return pa.array([], pa.binary())
+    first, n = ends[:-1], np.diff(ends).astype(np.uint64)
+    one, two = (np.add.reduceat(mix(x ^ k), first) for k in (A, B))
+    both = np.c_[mix(one + n * B), mix(two * A + n)].astype("<u8")
+    return pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer((16 * np.arange(len(n) + 1)).astype(np.int32).tobytes()), pa.py_buffer(both.tobytes())])
+
+
+def signatures(x: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """16 bits of each of HASHES minima, for sets that aren't empty."""
     rng = np.random.default_rng(20_011)
     a = rng.integers(0, 1 << 63, HASHES, np.uint64) * np.uint64(2) + np.uint64(1)
     b = rng.integers(0, 1 << 63, HASHES, np.uint64)
-    out = np.empty((len(sets), HASHES), np.uint16)
+    n = len(ends) - 1
+    out = np.empty((n, HASHES), np.uint16)
     at = 0
-    while at < len(sets):  # small pieces stay in cache
-        end, size = at, 0
-        while end < len(sets) and (end == at or size + len(sets[end]) <= 32_768):
-            size += len(sets[end])
-            end += 1
-        x = np.concatenate(sets[at:end])
-        first = np.cumsum([0, *(len(s) for s in sets[at : end - 1])])
-        held = np.empty_like(x)
+    while at < n:  # small pieces stay in cache
+        end = max(at + 1, int(np.searchsorted(ends, ends[at] + 32_768, side="right")) - 1)
+        own, first = x[ends[at] : ends[end]], ends[at:end] - ends[at]
+        held = np.empty_like(own)
         for k in range(HASHES):
-            np.multiply(x, a[k], out=held)
+            np.multiply(own, a[k], out=held)
             held += b[k]
             out[at:end, k] = np.minimum.reduceat(held, first) >> np.uint64(40) & np.uint64(0xFFFF)
         at = end
@@ -106,17 +122,17 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
 
 def _prints(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        digest = Words()
-        for part in common.chunks(batches, "text", 8 << 20):
-            sets = _sets(part.column("text").to_pylist(), digest, size)
-            n = np.array([len(s) for s in sets], np.int64)
+        for part in common.chunks(batches, "text", BLOCK_BYTES):
+            x, ends = shingle_sets(part.column("text").combine_chunks(), size)
+            n = np.diff(ends)
             full = np.flatnonzero(n)
-            sig = signatures([sets[k] for k in full]) if len(full) else np.zeros((0, HASHES), np.uint16)
-            blobs: list[bytes | None] = [None] * len(sets)
-            cid: list[int | None] = [None] * len(sets)
-            for row, k in enumerate(full.tolist()):
-                blobs[k], cid[k] = sig[row].tobytes(), _class_id(sets[k])
-            yield pa.RecordBatch.from_arrays([part.column("doc_id").combine_chunks(), pa.array(n), pa.array(cid, pa.int64()), pa.array(blobs, pa.binary())], names=["doc_id", "n_shingles", "cid", "sig"])
+            sets = np.r_[ends[:-1][full], ends[-1]]
+            sig = signatures(x, sets).astype("<u2")
+            at = np.full(len(n), -1)
+            at[full] = np.arange(len(full))
+            take = pa.array(at, mask=at < 0)
+            blobs = pa.Array.from_buffers(pa.binary(), len(full), [None, pa.py_buffer((2 * HASHES * np.arange(len(full) + 1)).astype(np.int32).tobytes()), pa.py_buffer(sig.tobytes())])
+            yield pa.RecordBatch.from_arrays([part.column("doc_id").combine_chunks(), pa.array(n.astype(np.int64)), class_digests(x, sets).take(take), blobs.take(take)], names=["doc_id", "n_shingles", "digest", "sig"])
 
     return run
 
@@ -127,7 +143,7 @@ def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             continue
         cid = batch.column(0).to_numpy()
         sig = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint64).reshape(len(cid), BANDS)
-        key = _mix(sig + np.arange(1, BANDS + 1, dtype=np.uint64) * _B)
+        key = mix(sig + np.arange(1, BANDS + 1, dtype=np.uint64) * B)
         yield pa.RecordBatch.from_arrays([pa.array(key.ravel().view(np.int64)), pa.array(np.repeat(cid, BANDS))], names=["key", "cid"])
 
 
@@ -275,7 +291,7 @@ def _compare(least: list[tuple[int, int]], percent: int | None = None):
 
 def _full_sets(size: int, held):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        digest, bits = Words(), np.frombuffer(held.value, np.uint8)
+        bits = np.frombuffer(held.value, np.uint8)
 
         def wanted():
             for batch in batches:
@@ -284,11 +300,15 @@ def _full_sets(size: int, held):
                 if keep.any():
                     yield batch.filter(pa.array(keep))
 
-        for part in common.chunks(wanted(), "text", 8 << 20):
-            sets = [s for s in _sets(part.column("text").to_pylist(), digest, size) if len(s)]
-            for at in range(0, len(sets), 500):
-                own = sets[at : at + 500]
-                yield pa.RecordBatch.from_arrays([pa.array([_class_id(s) for s in own], pa.int64()), pa.array([s.tobytes() for s in own], pa.binary())], names=["set_of", "set"])
+        for part in common.chunks(wanted(), "text", BLOCK_BYTES):
+            x, ends = shingle_sets(part.column("text").combine_chunks(), size)
+            full = np.flatnonzero(np.diff(ends))
+            ends = np.r_[ends[:-1][full], ends[-1]]
+            digests, data = class_digests(x, ends), x.astype("<u8").tobytes()
+            for at in range(0, len(full), 500):
+                cuts = ends[at : min(at + 500, len(full)) + 1]
+                blobs = pa.Array.from_buffers(pa.binary(), len(cuts) - 1, [None, pa.py_buffer((8 * (cuts - cuts[0])).astype(np.int32).tobytes()), pa.py_buffer(data[8 * int(cuts[0]) : 8 * int(cuts[-1])])])
+                yield pa.RecordBatch.from_arrays([digests.slice(at, len(cuts) - 1), blobs], names=["digest", "set"])
 
     return run
 
@@ -315,10 +335,12 @@ def _verify(percent: int):
 
 def _sets_of(docs: DataFrame, classes: DataFrame, cids: DataFrame, size: int) -> DataFrame:
     """set_of, set: the full sets of the classes named, by another pass over the texts."""
-    held = common.slot_bitmap(classes.join(cids, "cid", "left_semi").select("first"), "first", SLOT_BITS)
-    sets = docs.select(common.slot("doc_id", SLOT_BITS).alias("slot"), F.col("text").cast("binary").alias("text")).mapInArrow(_full_sets(size, held), "set_of long, set binary")
+    named = classes.join(cids, "cid", "left_semi").select("digest", "first", F.col("cid").alias("set_of"))
+    held = common.slot_bitmap(named.select("first"), "first", SLOT_BITS)
+    texts = docs.select(common.slot("doc_id", SLOT_BITS).alias("slot"), F.col("text").cast("binary").alias("text"))
+    sets = texts.mapInArrow(_full_sets(size, held), "digest binary, set binary")
     # equal sets of several documents are one row
-    return sets.join(cids.select(F.col("cid").alias("set_of")), "set_of", "left_semi").dropDuplicates(["set_of"])
+    return sets.join(named.select("digest", "set_of"), "digest").select("set_of", "set").dropDuplicates(["set_of"])
 
 
 def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
@@ -344,16 +366,16 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, miss:
     no set, link with nothing and are kept. Rows that repeat a doc_id are nodes of their own; all rows with the
     smallest id are marked kept. Null doc_ids take part but never name a component that has an id; a component of
     null ids has a null component_id and is kept. Other columns are ignored, an empty table gives an empty result.
-    class_id is common to documents with equal sets. A linked pair is missed with a chance below 1e-4 (bands and
+    class_id is common to documents with equal sets, by 128 bits of the set. A linked pair is missed with a chance below 1e-4 (bands and
     pruning); no unlinked pair is linked.
     """
     spark = docs.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     docs = common.documents(docs)
     bytes_ = docs.select("doc_id", F.col("text").cast("binary").alias("text"))
-    prints = common.materialize(bytes_.mapInArrow(_prints(shingle), "doc_id long, n_shingles long, cid long, sig binary"))
-    classes = prints.where("cid is not null").groupBy("cid").agg(F.min("doc_id").alias("first"), F.min("sig").alias("sig"))
-    classes = common.materialize(classes)
+    prints = common.materialize(bytes_.mapInArrow(_prints(shingle), "doc_id long, n_shingles long, digest binary, sig binary"))
+    classes = prints.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("first"), F.min("sig").alias("sig"))
+    classes = common.materialize(classes.withColumn("cid", F.monotonically_increasing_id()))  # written, so the numbers stay
     keyed = classes.select("cid", "sig").mapInArrow(_bands, "key long, cid long").repartition(n, "key").sortWithinPartitions("key")
     members = common.materialize(keyed.mapInArrow(_shared_keys, "key long, cid long"))
     sizes = members.groupBy("key").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("cid")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "cid")).alias("y"), F.min("cid").alias("pivot"), F.max("cid").alias("pivot2"))
@@ -389,12 +411,12 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, miss:
         more = common.materialize(dealt.mapInArrow(_compare(least, percent), "key long, a long, b long")).select("a", "b").distinct()
         labels = connected_components(links.unionByName(more))
 
-    nodes = classes.select("cid", "first").join(labels, F.col("cid") == F.col("node"), "left").select("cid", "first", F.coalesce("label", "cid").alias("label"))
+    nodes = classes.select("cid", "first", "digest").join(labels, F.col("cid") == F.col("node"), "left").select("digest", "first", F.coalesce("label", "cid").alias("label"))
     least_of = nodes.groupBy("label").agg(F.min("first").alias("component"))
-    nodes = nodes.join(least_of, "label").select(F.col("cid").alias("of"), "component")
-    out = prints.select("doc_id", "n_shingles", "cid").join(nodes, F.col("cid") == F.col("of"), "left")
+    nodes = nodes.join(least_of, "label").select(F.col("digest").alias("of"), "component")
+    out = prints.select("doc_id", "n_shingles", "digest").join(nodes, F.col("digest") == F.col("of"), "left")
     component = F.when(F.col("of").isNull(), F.col("doc_id")).otherwise(F.col("component"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), F.col("cid").alias("class_id"))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), F.hex("digest").alias("class_id"))
 
 
 def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

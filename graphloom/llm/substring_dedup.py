@@ -1,23 +1,23 @@
 """Removal of repeated passages with prefix-partitioned suffix trees over words.
 
-Suffixes are cut at ``window`` words, the depth at which a node means a repeated passage. They are sparse: one leaf for
-each anchor, the word ``gram``-tuple of least rank within a window, and the leaf carries every window that has this
-anchor, so each window lies below exactly one anchor and equal windows below equal anchors.
-
-1. A counting pass over all anchors marks, in a bitmap of fixed size, those that occur in more than one document, and
-   those that are too frequent for one memory-sized group. A clear bit proves that no window there is repeated.
-2. Leaves of marked anchors are keyed by a prefix of variable length: the anchor's words, or for frequent anchors the
-   whole window. Within a map task, a leaf that repeats below the same node in a larger document is decided at once
-   and only the leaf of the smallest document is sent, so a passage that a third of all documents hold arrives as one
-   row per task.
-3. Each group sorts its windows: a run of equal windows is a deep internal node, its smallest document keeps the
-   passage, the others lose it. Maximal repeats are the unions of the windows removed.
-4. Word ranges go back to their documents by doc_id.
+Suffixes are told apart by their first ``window`` words, the depth from which a node means a repeated passage. They are
+partitioned by words they begin with or hold early: the ``gram``-tuple of least rank among the first ``window`` words, so
+equal windows meet, and neighbouring suffixes with the same tuple, its leaves, travel as one stretch of text.
+
+1. A counting pass over all tuples names, for each block of documents, those that occur in several documents; no window
+   with another one is repeated. A tuple with too many leaves for one memory-sized group has its prefix grow to the
+   whole window, one leaf for each suffix.
+2. Leaves of shared tuples are sent as the words themselves. Within a block of text, a leaf that repeats in a larger
+   document is decided at once, by comparing the texts, so a passage that a third of all documents hold arrives as one
+   row for each block.
+3. Each group is a subtree: its suffixes are sorted by naming 1, 2, 4, ... words (prefix doubling), neighbours get the
+   length of their common prefix, and a run with common prefixes of ``window`` words or more hangs below one deep
+   internal node. Its smallest document keeps the passage, the others lose it.
+4. The lost ranges, maximal repeats where they touch, go back to their blocks as files; texts are never shuffled.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,326 +26,358 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
+from .words import A, B, Words, mix, rolling, slices
 
 WINDOW, GRAM = 13, 5
-#: Bits of the anchor bitmap (32 MB each for shared and frequent anchors); a bounded broadcast whatever the input.
-BITMAP_BITS = 28
-#: Bits of the bitmap of documents that lose words (16 MB).
-DOC_BITS = 27
-#: Leaves of an anchor beyond which its prefix is extended to whole windows.
-FREQUENT = 50_000
-#: Bytes of text whose windows are handled at once.
-BLOCK_BYTES = 5 << 20
-
-#: Repeated leaves that a task remembers having sent.
-SENT_LEAVES = 500_000
-
-_A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
-
-
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(32))
-
-
-class Words:
-    """Word bytes to 64-bit digests, cached."""
-
-    def __init__(self, limit: int = 300_000):
-        self.known, self.limit = {}, limit
-
-    def __call__(self, words: list[bytes]) -> np.ndarray:
-        known = self.known
-        if len(known) > self.limit:
-            known.clear()
-        for w in set(words):
-            if w not in known:
-                known[w] = int.from_bytes(hashlib.blake2b(w, digest_size=8).digest(), "little")
-        return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-
-
-def _rolling(h: np.ndarray, n: int, factor: np.uint64) -> np.ndarray:
-    """A digest of each n consecutive words."""
-    out = np.zeros(max(0, len(h) - n + 1), np.uint64)
-    for k in range(n):
-        out = out * factor + h[k : k + len(out)]
-    return _mix(out)
-
-
-class Block:
-    """Leaves of a block of documents: for each its anchor digest, document, first window and number of windows."""
-
-    def __init__(self, texts: list[bytes], rows: np.ndarray, digest: Words, window: int, gram: int):
-        split = [t.split() for t in texts]
-        sizes = np.array([len(x) for x in split])
-        h = digest([w for x in split for w in x])
-        self.windows = _rolling(h, window, _A)
-        anchors = _rolling(h, gram, _B)
-        span = window - gram + 1
-        self.leaf_first = self.leaf_n = self.leaf_anchor = self.leaf_row = self.leaf_at = np.zeros(0, np.int64)
-        self.leaf_anchor = np.zeros(0, np.uint64)
-        if not len(self.windows):
+#: Leaves of a tuple beyond which its prefix grows to whole windows.
+FREQUENT = 20_000
+#: Bytes of text whose leaves are handled at once, and leaves sorted at once.
+BLOCK_BYTES, GROUP_ROWS = 4 << 20, 30_000
+#: Repeated leaves whose texts a task remembers having sent.
+SENT_LEAVES = 20_000
+
+
+class Leaves:
+    """Leaves of a block of documents: neighbouring suffixes with the same tuple.
+
+    at, n: first window, as a word of the block, and number of windows; anchor: the tuple's digest; text: which text it
+    is in; first: its word there.
+    """
+
+    def __init__(self, texts: pa.Array, window: int, gram: int):
+        self.words = Words(texts)
+        h, doc = self.words.digests(), self.words.doc
+        self.windows, grams = rolling(h, window, A), rolling(h, gram, B)
+        total = len(self.windows)
+        self.at = self.n = self.text = self.first = np.zeros(0, np.int64)
+        self.anchor = np.zeros(0, np.uint64)
+        if not total:
             return
-        doc = np.repeat(np.arange(len(sizes)), sizes)
-        begin = np.cumsum(sizes) - sizes
-        valid = doc[: len(self.windows)] == doc[window - 1 : window - 1 + len(self.windows)]
-        least, where = anchors[: len(self.windows)].copy(), np.zeros(len(self.windows), np.int8)
-        for k in range(1, span):
-            own = anchors[k : k + len(self.windows)]
+        least, where = grams[:total].copy(), np.zeros(total, np.int8)
+        for k in range(1, window - gram + 1):
+            own = grams[k : k + total]
             less = own < least
             least[less], where[less] = own[less], k
-        at = np.flatnonzero(valid)
+        at = np.flatnonzero(doc[:total] == doc[window - 1 : window - 1 + total])
         if not len(at):
             return
         anchor_at = at + where[at]
         new = np.r_[True, (anchor_at[1:] != anchor_at[:-1]) | (at[1:] != at[:-1] + 1)]
         first = np.flatnonzero(new)
-        self.leaf_at = at[first]  # position of the first window in the block
-        self.leaf_n = np.diff(np.r_[first, len(at)])
-        self.leaf_anchor = least[self.leaf_at]
-        owner = doc[self.leaf_at]
-        self.leaf_row = rows[owner]
-        self.leaf_first = self.leaf_at - begin[owner]  # position in the document
-
-
-def _blocks(batches: Iterator[pa.RecordBatch], window: int, gram: int) -> Iterator[Block]:
-    digest = Words()
-    for part in common.chunks(batches, "text", BLOCK_BYTES):
-        yield Block(part.column("text").to_pylist(), part.column("doc_id").to_numpy(), digest, window, gram)
+        self.at, self.n = at[first], np.diff(np.r_[first, len(at)])
+        self.anchor, self.text = least[self.at], doc[self.at]
+        self.first = self.at - self.words.begin[self.text]
 
 
-def _bucket(anchor: np.ndarray, bits: int) -> np.ndarray:
-    return (anchor >> np.uint64(64 - bits)).astype(np.int64)
+def _count_anchors(window: int, gram: int):
+    """anchor, block, the least document that holds it there, and twice its leaves there, plus 1 if others hold it too."""
 
-
-def _count_anchors(window: int, gram: int, bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in _blocks(batches, window, gram):
-            if not len(block.leaf_at):
+        for block, table in common.block_runs(batches, BLOCK_BYTES):
+            leaves = Leaves(common.array(table, 0), window, gram)
+            if not len(leaves.at):
                 continue
-            key = _bucket(block.leaf_anchor, bits)
-            order = np.lexsort((block.leaf_row, key))
-            key, row = key[order], block.leaf_row[order]
-            first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-            n = np.diff(np.r_[first, len(key)])
-            low, high = row[first], row[first + n - 1]
-            for at in range(0, len(first), 100_000):
-                s = slice(at, at + 100_000)
-                yield pa.RecordBatch.from_arrays([pa.array(key[first[s]].astype(np.int32)), pa.array(low[s]), pa.array(high[s] - low[s]), pa.array(n[s].astype(np.int32))], names=["bucket", "low", "more", "n"])
+            doc_ids = table.column(3).to_numpy()[leaves.text]
+            order = np.lexsort((doc_ids, leaves.anchor))
+            anchor, doc_id = leaves.anchor[order], doc_ids[order]
+            first = np.flatnonzero(np.r_[True, anchor[1:] != anchor[:-1]])
+            n = np.diff(np.r_[first, len(anchor)])
+            several = doc_id[first + n - 1] > doc_id[first]
+            for k in range(0, len(first), 50_000):
+                s = slice(k, k + 50_000)
+                own = first[s]
+                yield pa.RecordBatch.from_arrays([pa.array(anchor[own].view(np.int64)), pa.array(np.full(len(own), block)), pa.array(doc_id[own]), pa.array((2 * n[s] + several[s]).astype(np.int64))], names=["anchor", "block", "low", "leaves"])
 
     return run
 
 
-def _pack(bits: int):
-    """Sorted (bucket, frequent) rows of whole slices into one bitmap pair for each slice of 2^16 buckets."""
+def _shared_anchors(frequent: int):
+    """Rows sorted by anchor to (block, anchor, whether it is frequent) of those that several documents hold."""
+
+    def told(anchor: np.ndarray, block: np.ndarray, low: np.ndarray, leaves: np.ndarray) -> pa.RecordBatch:
+        first = np.flatnonzero(np.r_[True, anchor[1:] != anchor[:-1]])
+        shared = (np.minimum.reduceat(low, first) < np.maximum.reduceat(low, first)) | (np.maximum.reduceat(leaves & 1, first) > 0)
+        often = np.add.reduceat(leaves >> 1, first) > frequent
+        of = np.repeat(np.arange(len(first)), np.diff(np.r_[first, len(anchor)]))
+        own = np.flatnonzero(shared[of])
+        own = own[np.r_[True, (anchor[own][1:] != anchor[own][:-1]) | (block[own][1:] != block[own][:-1])]] if len(own) else own
+        return pa.RecordBatch.from_arrays([pa.array(block[own]), pa.array(anchor[own]), pa.array(often[of[own]])], names=["block", "anchor", "frequent"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        maps: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        held = [np.zeros(0, np.int64) for _ in range(4)]
         for batch in batches:
-            bucket, frequent = batch.column(0).to_numpy(), batch.column(1).to_numpy(zero_copy_only=False)
-            for s in np.unique(bucket >> 16):
-                shared, often = maps.setdefault(int(s), (np.zeros(1 << 16, bool), np.zeros(1 << 16, bool)))
-                own = (bucket >> 16) == s
-                shared[bucket[own] & 0xFFFF] = True
-                often[bucket[own & frequent] & 0xFFFF] = True
-        for s, (shared, often) in maps.items():
-            yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([np.packbits(shared).tobytes()]), pa.array([np.packbits(often).tobytes() if often.any() else b""], pa.binary())], names=["slice", "shared", "often"])
+            held = [np.r_[h, batch.column(k).to_numpy()] for k, h in enumerate(held)]
+            change = np.flatnonzero(held[0][1:] != held[0][:-1])
+            if len(change):
+                at = int(change[-1]) + 1
+                yield told(*(h[:at] for h in held))
+                held = [h[at:] for h in held]
+            elif len(held[0]) > 1_000_000:  # one anchor: a row for each block is enough
+                anchor, block, low, leaves = held
+                _, first = np.unique(block, return_index=True)
+                kept = np.zeros(len(first), np.int64)
+                kept[0] = 2 * (leaves >> 1).sum() + max(int((leaves & 1).max()), int(low.min() < low.max()))
+                held = [anchor[first], block[first], np.full(len(first), low.min()), kept]
+        if len(held[0]):
+            yield told(*held)
+        common.release()
 
     return run
 
 
-def _test(packed: np.ndarray, at: np.ndarray) -> np.ndarray:
-    return (packed[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1
-
-
-def _ranges(row: np.ndarray, first: np.ndarray, n: np.ndarray, wide: int) -> pa.RecordBatch:
-    """Removed word ranges, those that touch merged."""
-    order = np.lexsort((first, row))
-    row, first, last = row[order], first[order], (first + n + wide - 1)[order]
+def _ranges(block: np.ndarray, row: np.ndarray, first: np.ndarray, last: np.ndarray) -> pa.RecordBatch:
+    """Lost word ranges, those that touch merged."""
+    order = np.lexsort((first, row, block))
+    block, row, first, last = block[order], row[order], first[order], last[order]
     if len(row):
-        # ends never shrink within a document once they are running maxima
-        new = np.r_[True, (row[1:] != row[:-1]) | (first[1:] > last[:-1])]
+        # ends never shrink within a row: all that are merged come from leaves in order
+        new = np.r_[True, (row[1:] != row[:-1]) | (block[1:] != block[:-1]) | (first[1:] > last[:-1])]
         at = np.flatnonzero(new)
-        row, first, last = row[at], first[at], np.maximum.reduceat(last, at)
-    return pa.RecordBatch.from_arrays([pa.array(row, pa.int64()), pa.array(first, pa.int32()), pa.array(last, pa.int32())], names=["doc_id", "first", "last"])
+        block, row, first, last = block[at], row[at], first[at], np.maximum.reduceat(last, at)
+    return pa.RecordBatch.from_arrays([pa.array(block), pa.array(row), pa.array(first.astype(np.int32)), pa.array(last.astype(np.int32))], names=["block", "row", "first", "last"])
+
+
+LEAF = "route long, block long, row long, doc_id long, first int, last int, words binary"
+LEAF_NAMES = [x.split()[0] for x in LEAF.split(", ")]
 
 
-def _leaves(window: int, gram: int, bits: int, held):
+def _leaves(window: int, gram: int, uri: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shared, often = (np.frombuffer(x, np.uint8) for x in held.value)
-        # leaves that came up repeatedly and were sent: digest (sorted) and smallest document
-        sent_leaf, sent_row = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        for b in _blocks(batches, window, gram):
-            if not len(b.leaf_at):
+        at_block, shared, often = None, np.zeros(0, np.uint64), np.zeros(0, bool)
+        sent: dict[int, tuple[bytes, int]] = {}  # digest of a leaf -> its text and the smallest document sent
+        for block, table in common.block_runs(batches, BLOCK_BYTES):
+            if block != at_block:
+                found = [(b.column(0).to_numpy(), b.column(1).to_numpy(zero_copy_only=False)) for b in common.read_block(uri, block, ["anchor", "frequent"])]
+                at_block, shared, often = block, np.zeros(0, np.uint64), np.zeros(0, bool)
+                if found:
+                    shared = np.concatenate([x for x, _ in found]).view(np.uint64)
+                    order = np.argsort(shared)
+                    shared, often = shared[order], np.concatenate([x for _, x in found])[order]
+            if not len(shared):
                 continue
-            key = _bucket(b.leaf_anchor, bits)
-            keep = np.flatnonzero(_test(shared, key))
+            leaves = Leaves(common.array(table, 0), window, gram)
+            where = np.minimum(np.searchsorted(shared, leaves.anchor), len(shared) - 1)
+            keep = np.flatnonzero(shared[where] == leaves.anchor)
             if not len(keep):
                 continue
-            anchor, row, first, n, at = b.leaf_anchor[keep], b.leaf_row[keep], b.leaf_first[keep], b.leaf_n[keep], b.leaf_at[keep]
-            frequent = _test(often, key[keep]) if len(often) else np.zeros(len(keep), bool)
-            if frequent.any():  # a leaf for each window, keyed by the whole window
+            at, n, text, first, anchor, frequent = leaves.at[keep], leaves.n[keep], leaves.text[keep], leaves.first[keep], leaves.anchor[keep], often[where[keep]]
+            if frequent.any():  # the prefix grows to the whole window
                 times = np.where(frequent, n, 1)
                 own = np.repeat(np.arange(len(n)), times)
-                step = np.arange(len(own)) - np.repeat(np.cumsum(times) - times, times)
-                step = np.where(frequent[own], step, 0)
-                anchor, row, first, at, n, frequent = anchor[own], row[own], first[own] + step, at[own] + step, np.where(frequent[own], 1, n[own]), frequent[own]
-            # equal leaves: same anchor and same windows
-            total = np.repeat(np.cumsum(n) - n, n)
-            pos = np.repeat(at, n) + np.arange(int(n.sum())) - total
-            w = b.windows[pos]
-            begin = np.cumsum(n) - n
-            same = np.add.reduceat(_mix(w ^ _A), begin) * _B + np.where(n > 0, w[begin], 0) + anchor
-            order = np.lexsort((row, same))
-            s, r = same[order], row[order]
-            head = np.r_[True, s[1:] != s[:-1]]
-            least = r[np.flatnonzero(head)][np.cumsum(head) - 1]
-            if len(sent_leaf):
-                k = np.minimum(np.searchsorted(sent_leaf, s), len(sent_leaf) - 1)
-                least = np.where(sent_leaf[k] == s, np.minimum(least, sent_row[k]), least)
-            decided = order[r > least]
-            sent = order[r == least]
-            often_here = np.flatnonzero(head & ~np.r_[head[1:], True])
-            leaf, low = np.r_[sent_leaf, s[often_here]], np.r_[sent_row, least[often_here]]
-            pick = np.lexsort((low, leaf))
-            pick = pick[np.r_[True, leaf[pick][1:] != leaf[pick][:-1]]] if len(pick) else pick
-            if len(pick) <= SENT_LEAVES:
-                sent_leaf, sent_row = leaf[pick], low[pick]
-            route = np.where(frequent, w[begin] ^ anchor, anchor)
-            if len(decided):
-                found = _ranges(row[decided], first[decided], n[decided], window)
+                step = np.where(frequent[own], np.arange(len(own)) - np.repeat(np.cumsum(times) - times, times), 0)
+                at, first, n, text, anchor, frequent = at[own] + step, first[own] + step, np.where(frequent[own], 1, n[own]), text[own], anchor[own], frequent[own]
+            rows, doc_ids = table.column(2).to_numpy()[text], table.column(3).to_numpy()[text]
+            begin, end, data = leaves.words.first[at], leaves.words.last[at + n + window - 2], leaves.words.data
+            digest = mix(leaves.windows[at] + mix(leaves.windows[at + n - 1] ^ n.astype(np.uint64)))
+            order = np.lexsort((doc_ids, digest))
+            same = np.r_[False, digest[order][1:] == digest[order][:-1]]
+            heads = order[np.maximum.accumulate(np.where(same, 0, np.arange(len(order))))]
+            lost = np.zeros(len(at), bool)
+            cut = lambda k: data[begin[k] : end[k]].tobytes()  # noqa: B023, E731
+            repeated = np.flatnonzero(same & (doc_ids[order] > doc_ids[heads]))
+            head, body = -1, b""
+            for k, h in zip(order[repeated].tolist(), heads[repeated].tolist(), strict=True):
+                if h != head:
+                    head, body = h, cut(h)
+                    if len(sent) < SENT_LEAVES or int(digest[h]) in sent:
+                        before = sent.get(int(digest[h]))
+                        if before is None or before[0] == body and before[1] > doc_ids[h]:
+                            sent[int(digest[h])] = (body, int(doc_ids[h]))
+                lost[k] = cut(k) == body
+            if sent:
+                known = np.fromiter(sent, np.uint64, len(sent))
+                for k in np.flatnonzero(~lost & np.isin(digest, known)).tolist():
+                    body, least = sent[int(digest[k])]
+                    lost[k] = doc_ids[k] > least and cut(k) == body
+            last = first + n + window - 1
+            if lost.any():
+                found = _ranges(np.full(int(lost.sum()), block), rows[lost], first[lost], last[lost])
                 m = found.num_rows
-                empty = pa.array(np.zeros(m, np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array(_mix(found.column(0).to_numpy().astype(np.uint64)).view(np.int64)), empty, found.column(0), found.column(1), found.column(2), pa.array([None] * m, pa.binary())], names=["route", "anchor", "doc_id", "first", "last", "windows"])
-            for k in range(0, len(sent), 50_000):
-                own = sent[k : k + 50_000]
-                sizes = n[own]
-                pick = np.repeat(begin[own], sizes) + np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-                data = pa.py_buffer(w[pick].astype("<u8").tobytes())
-                ends = pa.py_buffer(np.r_[0, np.cumsum(sizes * 8)].astype(np.int32).tobytes())
-                blobs = pa.Array.from_buffers(pa.binary(), len(own), [None, ends, data])
-                yield pa.RecordBatch.from_arrays([pa.array(route[own].view(np.int64)), pa.array(anchor[own].view(np.int64)), pa.array(row[own]), pa.array(first[own].astype(np.int32)), pa.array((first[own] + sizes + window - 1).astype(np.int32)), blobs], names=["route", "anchor", "doc_id", "first", "last", "windows"])
+                yield pa.RecordBatch.from_arrays([pa.array(mix(found.column(1).to_numpy().astype(np.uint64)).view(np.int64)), found.column(0), found.column(1), pa.array(np.zeros(m, np.int64)), found.column(2), found.column(3), pa.array([None] * m, pa.binary())], names=LEAF_NAMES)
+            route = np.where(frequent, mix(leaves.windows[at] ^ A), anchor).view(np.int64)
+            left = np.flatnonzero(~lost)
+            for k in range(0, len(left), 20_000):
+                s = left[k : k + 20_000]
+                yield pa.RecordBatch.from_arrays([pa.array(route[s]), pa.array(np.full(len(s), block)), pa.array(rows[s]), pa.array(doc_ids[s]), pa.array(first[s].astype(np.int32)), pa.array(last[s].astype(np.int32)), slices(data, begin[s], end[s])], names=LEAF_NAMES)
 
     return run
 
 
+def sorted_suffixes(codes: np.ndarray, starts: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """(order of the suffixes at ``starts`` by their first ``depth`` codes, length of each one's common prefix with the one before, up to ``depth``).
+
+    Every start has ``depth`` codes. Runs of 1, 2, 4, ... codes get names that keep their order.
+    """
+    names, span = [(1, np.unique(codes, return_inverse=True)[1])], 1
+    while span < depth:
+        step = min(span, depth - span)
+        one = names[-1][1].astype(np.uint64)
+        two = np.zeros(len(one), np.uint64)
+        two[: len(one) - step] = one[step:]
+        names.append((span + step, np.unique((one << np.uint64(32)) | two, return_inverse=True)[1]))
+        span += step
+    order = np.argsort(names[-1][1][starts], kind="stable")
+    common_ = np.zeros(len(order), np.int64)
+    if len(order) > 1:
+        whole = names[-1][1][starts[order]]
+        common_[1:] = np.where(whole[1:] == whole[:-1], depth, 0)
+        unlike = np.flatnonzero(common_[1:] == 0) + 1
+        one, two, found = starts[order][unlike], starts[order][unlike - 1], np.zeros(len(unlike), np.int64)
+        for size, name in reversed(names[:-1]):
+            end = len(name) - 1
+            equal = (found + size <= depth) & (name[np.minimum(one + found, end)] == name[np.minimum(two + found, end)])
+            found += np.where(equal, size, 0)
+        common_[unlike] = np.minimum(found, depth - 1)
+    return order, common_
+
+
 def _subtrees(window: int):
-    """Rows of one partition sorted by route: whole groups are gathered up to a bound, then their windows sorted."""
-
-    def solve(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part = pa.Table.from_batches(parts).combine_chunks()
-        blobs = part.column("windows").combine_chunks()
-        blobs = blobs.chunk(0) if isinstance(blobs, pa.ChunkedArray) else blobs
-        row, first, last = (part.column(k).to_numpy() for k in ("doc_id", "first", "last"))
-        done = np.asarray(blobs.is_null())
-        if done.any():
-            yield pa.RecordBatch.from_arrays([pa.array(row[done]), pa.array(first[done]), pa.array(last[done])], names=["doc_id", "first", "last"])
-        open_ = np.flatnonzero(~done)
-        if not len(open_):
-            return
-        n = (last - first - window + 1)[open_].astype(np.int64)
-        w = np.frombuffer(b"".join(blobs.filter(pa.array(~done)).to_pylist()), "<u8")
-        own = np.repeat(open_, n)
-        anchor = part.column("anchor").to_numpy()[own]
-        r = row[own]
-        f = first[own] + (np.arange(len(own)) - np.repeat(np.cumsum(n) - n, n)).astype(np.int32)
-        order = np.lexsort((r, w, anchor))
-        a, x, r, f = anchor[order], w[order], r[order], f[order]
-        head = np.r_[True, (a[1:] != a[:-1]) | (x[1:] != x[:-1])]
-        least = r[np.flatnonzero(head)][np.cumsum(head) - 1]
-        lost = r > least
-        if lost.any():
-            yield _ranges(r[lost], f[lost], np.ones(int(lost.sum()), np.int64), window)
+    """Leaves sorted by route and document to the ranges that are lost."""
+
+    def solve(part: pa.Table) -> tuple[pa.RecordBatch | None, np.ndarray]:
+        """(lost ranges, rows some of whose suffixes are kept) of whole groups, or of what has come of a single one."""
+        block, row, doc_id, first = (part.column(k).to_numpy() for k in ("block", "row", "doc_id", "first"))
+        words = Words(common.array(part, "words"))
+        of, codes = words.doc, words.distinct()[1]
+        starts = np.flatnonzero(np.arange(len(of)) + window <= (words.begin + words.sizes)[of])
+        order, shared = sorted_suffixes(codes, starts, window)
+        starts = starts[order]
+        node = np.cumsum(shared < window)
+        leaf = of[starts]
+        by = np.lexsort((doc_id[leaf], node))
+        starts, leaf, node = starts[by], leaf[by], node[by]
+        head = np.r_[True, node[1:] != node[:-1]]
+        least = doc_id[leaf][np.flatnonzero(head)][np.cumsum(head) - 1]
+        lost = doc_id[leaf] > least
+        kept = np.unique(leaf[~lost])
+        if not lost.any():
+            return None, kept
+        leaf, at = leaf[lost], (starts - words.begin[leaf])[lost] + first[leaf[lost]]
+        return _ranges(block[leaf], row[leaf], at, at + window), kept
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for batch in batches:
-            held.append(batch)
-            size += batch.num_rows
-            if size >= 200_000:
-                # cut at the last change of route, so that no group is divided
-                whole = pa.Table.from_batches(held).combine_chunks()
+            done = batch.column(6).is_null()
+            if done.true_count:
+                own = batch.filter(done)
+                yield pa.RecordBatch.from_arrays([own.column(k) for k in (1, 2, 4, 5)], names=["block", "row", "first", "last"])
+                batch = batch.filter(pa.compute.invert(done))
+            for at in range(0, batch.num_rows, GROUP_ROWS):
+                part = batch.slice(at, GROUP_ROWS)
+                held.append(part)
+                size += part.num_rows
+                if size < GROUP_ROWS:
+                    continue
+                whole = pa.Table.from_batches(held)
                 route = whole.column("route").to_numpy()
                 change = np.flatnonzero(route[1:] != route[:-1])
-                if len(change):
-                    at = int(change[-1]) + 1
-                    yield from solve(whole.slice(0, at).to_batches())
-                    held = whole.slice(at).to_batches()
-                    size = whole.num_rows - at
-        if held:
-            yield from solve(held)
+                if len(change):  # cut at the last change, so that no group is divided
+                    end = int(change[-1]) + 1
+                    found, _ = solve(whole.slice(0, end))
+                    whole = whole.slice(end)
+                else:  # documents ascend: later rows of the group need only those that keep something
+                    found, kept = solve(whole)
+                    whole = whole.take(pa.array(kept))
+                if found is not None:
+                    yield found
+                held, size = whole.combine_chunks().to_batches(), whole.num_rows
+        if size:
+            found, _ = solve(pa.Table.from_batches(held))
+            if found is not None:
+                yield found
+        common.release()
 
     return run
 
 
-def _marked(held, marked: bool):
-    """Documents whose slot is, or isn't, set in a bitmap."""
-
+def _cut(window: int, uri: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.frombuffer(held.value, np.uint8)
-        for batch in batches:
-            yield batch.filter(pa.array(_test(bits, batch.column(0).to_numpy()) == marked))
+        at_block, lost = None, np.zeros((0, 3), np.int64)
+        for block, table in common.block_runs(batches, BLOCK_BYTES):
+            if block != at_block:
+                found = [np.c_[b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(2).to_numpy()] for b in common.read_block(uri, block, ["row", "first", "last"])]
+                at_block, lost = block, np.concatenate(found) if found else np.zeros((0, 3), np.int64)
+                lost = lost[np.argsort(lost[:, 0], kind="stable")]
+            words = Words(common.array(table, 0))
+            row = table.column(2).to_numpy()
+            a, b = np.searchsorted(lost[:, 0], row), np.searchsorted(lost[:, 0], row, side="right")
+            text = np.repeat(np.arange(len(row)), b - a)
+            own = lost[np.arange(len(text)) + np.repeat(a - np.r_[0, np.cumsum(b - a)[:-1]], b - a)]
+            edge = np.zeros(len(words) + 1, np.int64)
+            np.add.at(edge, words.begin[text] + own[:, 1], 1)
+            np.add.at(edge, words.begin[text] + own[:, 2], -1)
+            keep = np.cumsum(edge[:-1]) == 0
+            # kept words, each with a space after it
+            first, last, data = words.first[keep], words.last[keep], words.data
+            sizes = last - first + 1
+            ends = np.r_[0, np.cumsum(sizes)]
+            pick = np.minimum(np.arange(int(ends[-1])) + np.repeat(first - ends[:-1], sizes), max(0, len(data) - 1))
+            body = data[pick]
+            body[ends[1:] - 1] = 32
+            body = body.tobytes()
+            n_kept = np.r_[0, np.cumsum(keep)]
+            cuts = n_kept[np.r_[words.begin, len(words)]]
+            kept = [body[x : max(x, y - 1)] for x, y in zip(ends[cuts[:-1]].tolist(), ends[cuts[1:]].tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([common.array(table, 3), pa.array(words.sizes.astype(np.int64)), pa.array(words.sizes - np.diff(cuts)), pa.array(kept, pa.binary())], names=["doc_id", "n_words", "n_removed", "kept"])
 
     return run
 
 
-def _merge_and_cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        out = []
-        for doc_id, text, found in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-            words = text.split()
-            if not found:
-                kept = words
-            else:
-                gone = bytearray(len(words))
-                for x in found:
-                    gone[x["first"] : x["last"]] = b"\1" * (x["last"] - x["first"])
-                kept = [w for w, g in zip(words, gone, strict=True) if not g]
-            out.append((doc_id, len(words), len(words) - len(kept), b" ".join(kept).decode("utf-8", "replace")))
-        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], kind) for k, kind in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.string()))], names=["doc_id", "n_words", "n_removed", "kept_text"])
-
-
-def repeated_ranges(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, bits: int = BITMAP_BITS, frequent: int = FREQUENT) -> DataFrame:
-    """doc_id, first, last: word ranges (end exclusive) covered by windows that also start in a smaller document."""
-    spark = docs.sparkSession
-    bytes_ = docs.where("doc_id is not null").select("doc_id", F.col("text").cast("binary").alias("text"))
-    seen = bytes_.mapInArrow(_count_anchors(window, gram, bits), "bucket int, low long, more long, n int")
-    marks = seen.groupBy("bucket").agg((F.max(F.col("low") + F.col("more")) > F.min("low")).alias("shared"), (F.sum("n") > frequent).alias("often")).where("shared").select("bucket", "often")
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    slices = marks.repartition(n, F.shiftright("bucket", 16)).mapInArrow(_pack(bits), "slice int, shared binary, often binary").toArrow()
-    shared, often = bytearray(1 << (bits - 3)), bytearray()
-    for s, a, b in zip(*(slices.column(k).to_pylist() for k in range(3)), strict=True):
-        shared[s << 13 : (s + 1) << 13] = a
-        if b:
-            often = often or bytearray(1 << (bits - 3))
-            often[s << 13 : (s + 1) << 13] = b
-    held = spark.sparkContext.broadcast((bytes(shared), bytes(often)))
-    leaves = bytes_.mapInArrow(_leaves(window, gram, bits, held), "route long, anchor long, doc_id long, first int, last int, windows binary")
-    groups = leaves.repartition(n, "route").sortWithinPartitions("route")
-    return groups.mapInArrow(_subtrees(window), "doc_id long, first int, last int")
-
-
-def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, bits: int = BITMAP_BITS, frequent: int = FREQUENT) -> DataFrame:
+def repeated_ranges(rows: DataFrame, window: int = WINDOW, gram: int = GRAM, frequent: int = FREQUENT) -> DataFrame:
+    """block, row, first, last: word ranges (end exclusive) of ``common.located`` rows covered by windows that also start in a smaller document."""
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = rows.where("doc_id is not null")
+    seen = rows.mapInArrow(_count_anchors(window, gram), "anchor long, block long, low long, leaves long")
+    seen = seen.repartition(n, "anchor").sortWithinPartitions("anchor")
+    uri = common.write_blocks(seen.mapInArrow(_shared_anchors(frequent), "block long, anchor long, frequent boolean"))
+    leaves = rows.mapInArrow(_leaves(window, gram, uri), LEAF)
+    groups = leaves.repartition(n, "route").sortWithinPartitions("route", "doc_id")
+    return groups.mapInArrow(_subtrees(window), "block long, row long, first int, last int")
+
+
+def maximal_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, frequent: int = FREQUENT) -> DataFrame:
+    """doc_id, first, last: the longest word ranges of each document whose every window also starts in a smaller document.
+
+    Rows of a repeated doc_id have ranges of their own each; rows with a null doc_id have none.
+    """
+    rows = common.located(docs)
+    lost = common.materialize(repeated_ranges(rows, window, gram, frequent))
+    ids = rows.select("block", "row", "doc_id")
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, end = None, None
+        out: list[tuple[int, int, int]] = []
+        for batch in batches:
+            for block, row, doc_id, first, last in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if at is not None and at[:2] == (block, row) and first <= end - window + 1:  # the next window is a repeat too
+                    end = max(end, last)
+                    continue
+                if at is not None:
+                    out.append((at[2], at[3], end))
+                at, end = (block, row, doc_id, first), last
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], kind) for k, kind in enumerate((pa.int64(), pa.int32(), pa.int32()))], names=["doc_id", "first", "last"])
+            out = []
+        if at is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([at[2]], pa.int64()), pa.array([at[3]], pa.int32()), pa.array([end], pa.int32())], names=["doc_id", "first", "last"])
+
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    found = lost.join(ids, ["block", "row"]).select("block", "row", "doc_id", "first", "last")
+    return found.repartition(n, "block", "row").sortWithinPartitions("block", "row", "first").mapInArrow(merge, "doc_id long, first int, last int")
+
+
+def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, frequent: int = FREQUENT) -> DataFrame:
     """One row per document: doc_id, n_words, n_removed, kept_text (the kept words joined by one space).
 
     Words are [^\\x20\\x09-\\x0D]+, unchanged; a null text has none. A text shorter than the window loses nothing. Rows
     that repeat a doc_id are one document to each other: they don't remove each other's words. Rows with a null
-    doc_id take no part and are kept whole. Other columns are ignored, an empty table gives an empty result.
-    Windows are compared by two independent digests of 64 bits.
+    doc_id take no part and are kept whole. Other columns are ignored, an empty table gives an empty result. Passages
+    are compared word by word; digests only decide which of them meet.
     """
-    docs = common.documents(docs)
-    found = repeated_ranges(docs, window, gram, bits, frequent)
-    found = found.groupBy(F.col("doc_id").alias("of")).agg(F.collect_list(F.struct("first", "last")).alias("found"))
-    found = common.materialize(found)
-    # documents that lose nothing needn't be shuffled; the bitmap may name too many, never too few
-    held = common.slot_bitmap(found.select("of"), "of", DOC_BITS)
-    slotted = docs.select(common.slot("doc_id", DOC_BITS).alias("slot"), "doc_id", F.col("text").cast("binary").alias("text"))
-    kinds = "slot int, doc_id long, text binary"
-    hit = slotted.mapInArrow(_marked(held, True), kinds).join(found.hint("shuffle_hash"), F.col("doc_id") == F.col("of"), "left").select("doc_id", "text", "found")
-    whole = slotted.mapInArrow(_marked(held, False), kinds).select("doc_id", "text", F.lit(None).cast(hit.schema["found"].dataType).alias("found"))
-    cut = "doc_id long, n_words long, n_removed long, kept_text string"
-    return hit.mapInArrow(_merge_and_cut, cut).unionByName(whole.mapInArrow(_merge_and_cut, cut))
+    rows = common.located(docs)
+    uri = common.write_blocks(repeated_ranges(rows, window, gram, frequent))
+    cut = rows.mapInArrow(_cut(window, uri), "doc_id long, n_words long, n_removed long, kept binary")
+    return cut.select("doc_id", "n_words", "n_removed", F.col("kept").cast("string").alias("kept_text"))
 
 
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -122,7 +122,7 @@ def test_repeats(docs, none, frequent):
         w = t.encode().split()
         for k in range(len(w) - 12):
             first[tuple(w[k : k + 13])] = min(i, first.get(tuple(w[k : k + 13]), i))
-    got = substring_dedup.remove_repeats(docs, bits=18, frequent=frequent).collect()
+    got = substring_dedup.remove_repeats(docs, frequent=frequent).collect()
     for r in got:
         w = dict(texts())[r["doc_id"]].encode().split()
         gone = set()
@@ -131,7 +131,7 @@ def test_repeats(docs, none, frequent):
                 gone |= set(range(k, k + 13))
         assert (r["n_words"], r["n_removed"]) == (len(w), len(gone))
         assert r["kept_text"].encode() == b" ".join(x for k, x in enumerate(w) if k not in gone)
-    assert len(got) == len(texts()) and substring_dedup.remove_repeats(none, bits=18).count() == 0
+    assert len(got) == len(texts()) and substring_dedup.remove_repeats(none).count() == 0
 
 
 def test_mix(docs):
