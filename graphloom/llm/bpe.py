@@ -1,68 +1,56 @@
 """BPE encoding and decoding through a table of distinct words.
 
-1. Words common in a bounded sample are encoded first and go to all tasks. Each block (input split) of documents is
-   cut into words, and its other distinct words are noted: one row for each word and block, however often it occurs.
+1. Words are cut at the spaces where byte-level BPE never merges (``units``). Common ones, from a bounded sample, are encoded
+   once by a Spark job and go to all tasks. Each block (neighbouring rows of a file) notes its other distinct words: one
+   row for each word and block, however often it occurs.
 2. These rows are shuffled and sorted by word. Every distinct word is encoded once by the tokenizers library, and its
    ids go back to the blocks that hold it, as one dictionary per block in the shared folder.
-3. Each block puts the ids of its words together by position, and decodes through the id-to-piece table.
+3. Each block numbers its distinct words, joins their ids to the positions at which they stand, and decodes by joining
+   the ids to the table of pieces; both joins gather array rows.
 
-A block is named by file and offset, so a task that is run again finds the same dictionary; nothing but words and
-ids is shuffled, never a text. A word that a block's dictionary lacks (the splits changed between the two reads) is
-encoded on the spot, so results never depend on how blocks are cut.
+Blocks don't depend on how files are split over tasks, so a task that is run again finds the same dictionary. Nothing but
+words and ids is shuffled, never a text: a row for each position would be several times the input.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
-from .units import Cutter, Encoder, id_pieces
+from .units import BLOCK_BYTES, Block, Coder, Encoder, Table, common_units, id_pieces, ragged
+from .words import buffers_of
 
-#: Documents looked at for common words, and words taken from them: a bounded table that goes to every task.
-COMMON_SAMPLE, COMMON_WORDS = 8000, 250_000
 #: Distinct words that a task holds at once while it notes them.
-NOTED_WORDS = 600_000
+NOTED_WORDS = 500_000
 
 
-def _with_blocks(docs: DataFrame) -> DataFrame:
-    """Documents and the block each lies in, named by file and offset; other inputs are written to files first."""
-    try:
-        keyed = docs.select("*", F.xxhash64("_metadata.file_path", "_metadata.file_block_start").alias("block"))
-        keyed.schema  # noqa: B018
-        return keyed
-    except Exception as e:  # a table without file metadata
-        if "UNRESOLVED" not in str(e) and "_metadata" not in str(e):
-            raise
-        return common.materialize(docs).select("*", F.xxhash64("_metadata.file_path", "_metadata.file_block_start").alias("block"))
-
-
-def _note_words(path: str, common_words):
+def _note_words(path: str, usual):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cut, usual = Encoder(path).cutter.cut, common_words.value.keys()
-        seen: dict[int, set[str]] = {}
+        added, known = Encoder(path).added, Table.unpacked(usual.value).units
+        held: dict[int, pa.Array] = {}
 
         def rows():
-            for block, words in seen.items():
-                found = sorted(w for w in words if w not in usual)
-                for at in range(0, len(found), 20_000):
-                    part = found[at : at + 20_000]
-                    yield pa.RecordBatch.from_arrays([pa.array(part, pa.string()), pa.array([block] * len(part), pa.int64())], names=["word", "block"])
-
-        for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                for block, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                    seen.setdefault(block, set()).update(cut(text))
-                if sum(map(len, seen.values())) > NOTED_WORDS:  # bounds memory; a word may then be noted twice
-                    yield from rows()
-                    seen.clear()
+            for block, words in held.items():
+                yield pa.RecordBatch.from_arrays([words, pa.array(np.full(len(words), block))], names=["word", "block"])
+            held.clear()
+
+        for block, table in common.block_runs(batches, BLOCK_BYTES):
+            words = Block(common.array(table, 0), added).distinct
+            words = words.filter(pc.is_null(pc.index_in(words, value_set=known)))
+            if block in held:
+                words = pc.unique(pa.concat_arrays([held[block], words]))
+            elif len(held) > 100:
+                yield from rows()
+            held[block] = words
+            if sum(map(len, held.values())) > NOTED_WORDS:  # bounds memory; a word may then be noted twice
+                yield from rows()
         yield from rows()
 
     return run
@@ -70,87 +58,72 @@ def _note_words(path: str, common_words):
 
 def _encode_words(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, last, ids = Encoder(path), None, b""
+        encoder, last = Encoder(path), None
         for batch in batches:
-            words = batch.column(0).to_pylist()
-            new = list(dict.fromkeys(w for w in words if w != last))
-            codes = dict(zip(new, encoder.encode_bytes(new), strict=True)) if new else {}
-            if words and words[0] == last:
-                codes[last] = ids
-            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(0), pa.array([codes[w] for w in words], pa.binary())], names=["block", "word", "ids"])
-            if words:
-                last, ids = words[-1], codes[words[-1]]
+            if not batch.num_rows:
+                continue
+            words = batch.column(0).dictionary_encode()
+            distinct, of = words.dictionary, words.indices.to_numpy()
+            again = last is not None and distinct[0].as_py() == last[0]  # sorted, so only the first can be
+            ids, sizes = encoder.units(distinct.slice(1) if again else distinct)
+            if again:
+                ids, sizes = np.r_[last[1], ids], np.r_[len(last[1]), sizes]
+            pick, ends = ragged(sizes, of)
+            found = pa.Array.from_buffers(pa.binary(), len(of), [None, pa.py_buffer((ends * ids.itemsize).astype(np.int32).tobytes()), pa.py_buffer(ids[pick].tobytes())])
+            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(0), found], names=["block", "word", "ids"])
+            last = (distinct[-1].as_py(), ids[len(ids) - int(sizes[-1]) :].copy())
+        common.release()
 
     return run
 
 
-def _common_words(docs: DataFrame, encoder: Encoder) -> dict[str, bytes]:
-    """Words that several of a bounded sample of documents hold, encoded once for all blocks: no more than COMMON_WORDS."""
-    ids = [r[0] for r in docs.where("doc_id is not null").select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(COMMON_SAMPLE).collect()]
-    if not ids:
-        return {}
-
-    cut = Cutter(encoder.cutter.added).cut
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter[str] = Counter()
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                seen.update(set(cut(text)))
-        yield pa.RecordBatch.from_arrays([pa.array(seen.keys(), pa.string()), pa.array(seen.values(), pa.int64())], names=["word", "n"])
-
-    words = docs.where(F.col("doc_id").isin(ids)).select("text").mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    found = words.where(F.length("word") < 100).orderBy(F.desc("n"), "word").limit(COMMON_WORDS).select("word").toArrow().column(0).to_pylist()
-    return dict(zip(found, encoder.encode_bytes(found), strict=True)) if found else {}
-
+def _dictionary(uri: str, block: int, kind: str) -> Table:
+    words, ids, sizes = [], [], []
+    for batch in common.read_block(uri, block, ["word", "ids"]):
+        data, offsets = buffers_of(batch.column(1))
+        words.append(batch.column(0).cast(pa.binary()))
+        ids.append(np.frombuffer(data.tobytes(), kind))
+        sizes.append(np.diff(offsets) // np.dtype(kind).itemsize)
+    return Table(pa.concat_arrays(words), np.concatenate(ids), np.concatenate(sizes)) if words else Table.empty(kind)
 
-def _open(uri: str):
-    from pyarrow import fs
 
-    system, path = fs.FileSystem.from_uri(uri)
-    return system, path
+class Pieces:
+    """The id-to-piece table as arrays, and the one of ids in decimal."""
 
+    def __init__(self, pieces: list[bytes]):
+        self.piece, self.piece_sizes = np.frombuffer(b"".join(pieces), np.uint8), np.array([len(x) for x in pieces])
+        names = [f"{k}," for k in range(len(pieces))]
+        self.name, self.name_sizes = np.frombuffer("".join(names).encode(), np.uint8), np.array([len(x) for x in names])
 
-def _dictionary(uri: str, block: int) -> dict[str, bytes]:
-    import pyarrow.parquet as pq
-    from pyarrow import fs
+    def decoded(self, ids: np.ndarray) -> str:
+        return self.piece[ragged(self.piece_sizes, ids)[0]].tobytes().decode("utf-8", "replace")
 
-    system, path = _open(f"{uri}/block={block}")
-    if system.get_file_info(path).type == fs.FileType.NotFound:
-        return {}
-    out: dict[str, bytes] = {}
-    for info in system.get_file_info(fs.FileSelector(path)):
-        if info.base_name.endswith(".parquet"):
-            for batch in pq.ParquetFile(system.open_input_file(info.path)).iter_batches(20_000, columns=["word", "ids"]):
-                out.update(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
-    return out
+    def joined(self, ids: np.ndarray) -> bytes:
+        """Decimal ids, joined by commas."""
+        return self.name[ragged(self.name_sizes, ids)[0]].tobytes()[:-1]
 
 
-def _apply(path: str, uri: str, common_words, digest: bool):
+def _apply(path: str, uri: str, usual, vocabulary, digest: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, pieces, usual = Encoder(path), id_pieces(path), common_words.value
-        names, kind = [str(k) for k in range(len(pieces))], encoder.id_type
-        at, known = None, {}
-        for whole in batches:
-            for start in range(0, whole.num_rows, 500):
-                batch, out = whole.slice(start, 500), []
-                for doc_id, block, text in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-                    if block != at:
-                        at, known = block, {}
-                        known = _dictionary(uri, block)
-                    units = encoder.cutter.cut(text)
-                    missing = [u for u in set(units) if u not in usual and u not in known]
-                    if missing:
-                        known.update(zip(missing, encoder.encode_bytes(missing), strict=True))
-                    ids = np.frombuffer(b"".join([usual[u] if u in usual else known[u] for u in units]), kind).tolist()
-                    body = b"".join([pieces[k] for k in ids]).decode("utf-8", "replace")
-                    if digest:
-                        joined = ",".join([names[k] for k in ids])
-                        out.append((doc_id, len(ids), hashlib.sha256(joined.encode()).hexdigest(), hashlib.sha256(body.encode()).hexdigest()))
-                    else:
-                        out.append((doc_id, len(ids), ids, body))
-                kinds = [pa.int64(), pa.int64(), pa.string() if digest else pa.list_(pa.int32()), pa.string()]
-                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], of) for k, of in enumerate(kinds)], names=["doc_id", "n_tokens", *(("ids_sha256", "decoded_sha256") if digest else ("ids", "decoded"))])
+        coder, pieces, at, own = Coder(path, usual.value, 0), Pieces(vocabulary.value), None, None
+        kinds = [pa.int64(), pa.int64(), pa.string() if digest else pa.list_(pa.int32()), pa.string()]
+        names = ["doc_id", "n_tokens", *(("ids_sha256", "decoded_sha256") if digest else ("ids", "decoded"))]
+        for block, table in common.block_runs(batches, BLOCK_BYTES):
+            if block != at:
+                at, own = block, None
+                own = _dictionary(uri, block, coder.encoder.id_type)
+            out, held = [], 0
+            for doc_id, ids in zip(table.column(3).to_pylist(), coder.arrays(common.array(table, 0), own), strict=True):
+                body = pieces.decoded(ids)
+                if digest:
+                    out.append((doc_id, len(ids), hashlib.sha256(pieces.joined(ids)).hexdigest(), hashlib.sha256(body.encode()).hexdigest()))
+                else:
+                    out.append((doc_id, len(ids), ids.astype(np.int32), body))
+                    held += len(ids)
+                if held > 1 << 20:
+                    yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], of) for k, of in enumerate(kinds)], names=names)
+                    out, held = [], 0
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], of) for k, of in enumerate(kinds)], names=names)
 
     return run
 
@@ -159,22 +132,21 @@ def encode_decode(docs: DataFrame, tokenizer: str | None = None, digest: bool =
     """One row per document: doc_id, n_tokens, ids (array of int) and decoded; with ``digest`` their sha256 instead.
 
     A null text is an empty text: no ids, an empty decoded text. Rows that repeat are each encoded. Added tokens in
-    a text are encoded as the library does by default. Columns other than doc_id and text are ignored, an empty
-    table gives an empty result. ``tokenizer`` is the path of a tokenizer file that every executor can read.
+    a text are encoded as the library does by default. Columns other than doc_id and text are ignored, whatever their
+    names, an empty table gives an empty result. ``tokenizer`` is the path of a tokenizer file that every executor can read.
     """
     path = tokenizer or common.tokenizer_path()
-    docs = _with_blocks(docs)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "block", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     spark = docs.sparkSession
-    usual = spark.sparkContext.broadcast(_common_words(docs, Encoder(path)))
-    words = docs.select("block", "text").mapInArrow(_note_words(path, usual), "word string, block long")
-    uri = common.shared_dir(spark)
+    docs = common.documents(docs)
+    usual = spark.sparkContext.broadcast(common_units(docs, path).packed())
+    docs = common.located(docs)
+    words = docs.select("text", "block").mapInArrow(_note_words(path, usual), "word binary, block long")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     by_word = words.repartition(n, "word").sortWithinPartitions("word")
-    coded = by_word.mapInArrow(_encode_words(path), "block long, word string, ids binary")
-    coded.repartition(n, "block").write.option("compression", "zstd").partitionBy("block").parquet(uri)
+    coded = by_word.mapInArrow(_encode_words(path), "block long, word binary, ids binary")
+    uri = common.write_blocks(coded)
     kinds = "doc_id long, n_tokens long, " + ("ids_sha256 string, decoded_sha256 string" if digest else "ids array<int>, decoded string")
-    return docs.select("doc_id", "block", "text").mapInArrow(_apply(path, uri, usual, digest), kinds)
+    return docs.mapInArrow(_apply(path, uri, usual, spark.sparkContext.broadcast(id_pieces(path)), digest), kinds)
 
 
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
