@@ -8,7 +8,6 @@ these go through a logistic regression.
 
 from __future__ import annotations
 
-import itertools
 import math
 import re
 from collections import Counter
@@ -16,15 +15,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
+from .words import Words, buffers_of, string_digests, within_one_deletion
 
 #: Labelled rows that the lexicon and the regression are fitted on: of each label at most.
 SAMPLE_PER_LABEL = 10_000
 LEXICON_TERMS, MIN_DOCS, MIN_LOG_ODDS = 2000, 3, 2.0
-FUZZY_LENGTH = 5
+#: Letters of a term at least, and of one that is found with an edit too.
+TERM_LENGTH, FUZZY_LENGTH = 3, 5
+#: Possible hits that a task remembers.
+KNOWN_WORDS = 100_000
+#: Bytes of text scored at once.
+BLOCK_BYTES = 4 << 20
 WINDOW = 5
 THRESHOLD = 0.7
 FEATURES = 10
@@ -35,6 +41,17 @@ _QUOTES = re.compile("[\"“”„«»]")
 REPORTING = frozenset("said says wrote quote quoted called writes dijo escribió citó dit écrit cite sagte schrieb zitierte".split())
 #: Signs written for letters.
 DISGUISE = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i"})
+#: ASCII signs that ``bare`` takes off a word's edges.
+EDGES = "".join(chr(c) for c in range(128) if not chr(c).isalnum())
+_SPLIT = re.compile("[\x20\x09-\x0d]+")
+_READ_AS = np.arange(256, dtype=np.uint8)
+for _c, _as in DISGUISE.items():
+    _READ_AS[_c] = ord(_as)
+_IS_SIGN = _READ_AS != np.arange(256)
+
+
+def split_words(text: str) -> list[str]:
+    return [w for w in _SPLIT.split(text) if w]
 
 
 def bare(word: str) -> str:
@@ -73,67 +90,109 @@ class Trie:
         if len(word) < FUZZY_LENGTH - 1 or edits == 1 and not self.possible(word):
             return None
         best: tuple[int, int] | None = None
-        # a state of the automaton: position -> edits used
-        stack = [(self.root, {k: k for k in range(min(edits, len(word)) + 1)})]
+        # states of the automaton that the trie reaches: node, position in the word, edits used
+        seen, stack, n = set(), [(self.root, 0, 0)], len(word)
         while stack:
-            node, state = stack.pop()
-            for c, child in node.items():
-                if c == "":
-                    used = min((e + len(word) - p for p, e in state.items()), default=edits + 1)
-                    if used <= edits and len(self.terms[child]) >= FUZZY_LENGTH and (best is None or (used, child) < (best[1], best[0])):
-                        best = (child, used)
-                    continue
-                after: dict[int, int] = {}
-                for p, e in state.items():
-                    if p < len(word) and word[p] == c:
-                        after[p + 1] = min(e, after.get(p + 1, edits + 1))
-                    if e < edits:
-                        after[p] = min(e + 1, after.get(p, edits + 1))  # the term has one sign more
-                        if p < len(word):
-                            after[p + 1] = min(e + 1, after.get(p + 1, edits + 1))  # another sign
-                after = {p: e for p, e in after.items() if e <= edits}
-                for p in sorted(after):  # the word has signs more
-                    if p < len(word) and after[p] < edits:
-                        after[p + 1] = min(after[p] + 1, after.get(p + 1, edits + 1))
-                if after:
-                    stack.append((child, after))
+            node, p, used = stack.pop()
+            while True:  # along equal signs; edits branch off
+                if used < edits:
+                    for c, child in node.items():
+                        if c == "":
+                            continue
+                        stack.append((child, p, used + 1))  # the term has one sign more
+                        if p < n and word[p] != c:
+                            stack.append((child, p + 1, used + 1))  # another sign
+                    if p < n:
+                        stack.append((node, p + 1, used + 1))  # the word has one sign more
+                if p == n:
+                    term = node.get("")
+                    if term is not None and len(self.terms[term]) >= FUZZY_LENGTH and (best is None or (used, term) < (best[1], best[0])):
+                        best = (term, used)
+                    break
+                node = node.get(word[p])
+                if node is None or (used and edits > 1 and (id(node), p, used) in seen):
+                    break
+                p += 1
+                if used and edits > 1:
+                    seen.add((id(node), p - 1, used))
         return best
 
 
+def lowered(texts: pa.Array) -> pa.Array:
+    """Lower-case bytes of a string column."""
+    return pc.utf8_lower(texts).cast(pa.binary())
+
+
 class Scorer:
+    """Hits of a block's distinct words first, then features of the texts that hold one."""
+
     def __init__(self, terms: list[str], weights: list[float]):
         self.trie, self.weights = Trie(terms), weights
-        self.known: dict[str, tuple[int, int] | None] = {}
-        self.hits: dict[str, tuple[int, int]] = {}
-
-    def look(self, words: list[str]) -> None:
-        if len(self.known) > 600_000:
-            # words met early are the common ones
-            self.known = dict(itertools.islice(self.known.items(), 300_000))
-        for w in [w for w in set(words) if w not in self.known]:
-            letters = w.isalpha()
-            plain = w if letters else bare(w)
-            found = self.trie.match(plain) if plain else None
-            if found is None and not letters and _SIGNS.search(plain):
-                found = self.trie.match(bare(w.translate(DISGUISE)))
-                found = (found[0], 1) if found else None
-            self.known[w] = None
+        plain = [x for x in self.trie.near | set(terms) if x.isascii()]
+        self.near = string_digests([x.encode() for x in plain])
+        self.known: dict[bytes, tuple[int, int] | None] = {}
+
+    def match(self, word: str) -> tuple[int, int] | None:
+        """(term, edits) of a lower-case word without its edges, or with signs read as letters."""
+        plain = bare(word)
+        found = self.trie.match(plain) if plain else None
+        if found is None and _SIGNS.search(plain):
+            found = self.trie.match(bare(word.translate(DISGUISE)))
+            found = (found[0], 1) if found else None
+        return found
+
+    def candidates(self, words: pa.Array) -> np.ndarray:
+        """Positions of all words that may match: ASCII words within one deletion of what one deletion leaves of a term, and all others."""
+        if not len(words):
+            return np.zeros(0, np.int64)
+        data, offsets = buffers_of(words)
+        other = np.add.reduceat(np.r_[data >= 128, False].astype(np.int64), offsets[:-1]) > 0
+        may = other | within_one_deletion(pc.ascii_trim(words.view(pa.string()), characters=EDGES), self.near)
+        signs = np.flatnonzero(~may & (np.add.reduceat(np.r_[_IS_SIGN[data], False].astype(np.int64), offsets[:-1]) > 0))
+        if len(signs):
+            own = words.take(pa.array(signs))
+            data, offsets = buffers_of(own)
+            read = pa.Array.from_buffers(pa.binary(), len(own), [None, pa.py_buffer(offsets.astype(np.int32).tobytes()), pa.py_buffer(_READ_AS[data].tobytes())])
+            may[signs] = within_one_deletion(pc.ascii_trim(read.view(pa.string()), characters=EDGES), self.near)
+        return np.flatnonzero(may)
+
+    def hits(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(term or -1, edits) of each of a column of distinct lower-case words."""
+        term, used = np.full(len(words), -1), np.zeros(len(words), np.int64)
+        at = self.candidates(words)
+        for k, word in zip(at.tolist(), words.take(pa.array(at)).to_pylist(), strict=True):
+            found = self.known.get(word, ())
+            if found == ():
+                found = self.match(str(word, "utf-8", "replace"))
+                if len(self.known) < KNOWN_WORDS:
+                    self.known[word] = found
             if found:
-                self.hits[w] = found
-
-    def features(self, text: str) -> list[float]:
-        words = text.lower().split()
-        self.look(words)
-        at = [k for k, w in enumerate(words) if w in self.hits]
-        if not at:
-            return [0.0] * FEATURES
+                term[k], used[k] = found
+        return term, used
+
+    def features(self, texts: pa.Array) -> np.ndarray:
+        """[texts, FEATURES] of a string column."""
+        out = np.zeros((len(texts), FEATURES))
+        low = lowered(texts)
+        words = Words(low)
+        distinct, of = words.distinct()
+        term, used = self.hits(distinct)
+        where = np.flatnonzero(term[of] >= 0) if len(of) else np.zeros(0, np.int64)
+        doc = words.doc[where]
+        for d in np.unique(doc).tolist():
+            at = where[doc == d] if len(where) < 1000 else where[np.searchsorted(doc, d) : np.searchsorted(doc, d, side="right")]
+            found = list(zip(term[of[at]].tolist(), used[of[at]].tolist(), strict=True))
+            out[d] = self._features(str(low[d].as_py(), "utf-8", "replace"), (at - words.begin[d]).tolist(), found)
+        return out
+
+    def _features(self, text: str, at: list[int], found: list[tuple[int, int]]) -> list[float]:
+        words = split_words(text)
         exact = fuzzy = quoted = abuse = 0.0
         terms: dict[int, float] = {}
         marks = np.cumsum([len(_QUOTES.findall(w)) for w in words]) if _QUOTES.search(text) else None
         where = np.array(at)
         near = np.searchsorted(where, where + WINDOW, side="right") - np.searchsorted(where, where - WINDOW, side="left") - 1
-        for k, others in zip(at, near.tolist(), strict=True):
-            term, used = self.hits[words[k]]
+        for k, (term, used), others in zip(at, found, near.tolist(), strict=True):
             weight = self.weights[term] * (0.5 if used else 1.0)
             around = words[max(0, k - WINDOW) : k + WINDOW + 1]
             said = (marks is not None and (marks[k - 1] if k else 0) % 2 == 1) or any(bare(w) in REPORTING for w in around)
@@ -151,21 +210,22 @@ class Scorer:
 
 
 def _term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts = (Counter(), Counter())
-    for batch in batches:
-        for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            counts[toxic].update({b for w in set(text.lower().split()) if len(b := bare(w)) >= 3})
-    words = [*(counts[0].keys() | counts[1].keys())]
-    for at in range(0, len(words), 20_000):
-        own = words[at : at + 20_000]
-        yield pa.RecordBatch.from_arrays([pa.array(own, pa.string()), pa.array([counts[1][w] for w in own], pa.int64()), pa.array([counts[0][w] for w in own], pa.int64())], names=["word", "n1", "n0"])
+    """word, texts of each label that hold it; counts of a block of texts at a time."""
+    for table in common.chunks(batches, 0, BLOCK_BYTES):
+        counts = (Counter(), Counter())
+        for text, toxic in zip(lowered(common.array(table, 0)).to_pylist(), table.column(1).to_pylist(), strict=True):
+            counts[toxic].update({b for w in set(split_words(str(text, "utf-8", "replace"))) if len(b := bare(w)) >= TERM_LENGTH})
+        words = [*(counts[0].keys() | counts[1].keys())]
+        for at in range(0, len(words), 20_000):
+            own = words[at : at + 20_000]
+            yield pa.RecordBatch.from_arrays([pa.array(own, pa.string()), pa.array([counts[1][w] for w in own], pa.int64()), pa.array([counts[0][w] for w in own], pa.int64())], names=["word", "n1", "n0"])
 
 
 def _sample_features(terms: list[str], weights: list[float]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(terms, weights)
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array([scorer.features(t) for t in batch.column(0).to_pylist()], pa.list_(pa.float64()))], names=["toxic", "x"])
+        for table in common.chunks(batches, 0, BLOCK_BYTES):
+            yield pa.RecordBatch.from_arrays([common.array(table, 1), pa.array(scorer.features(common.array(table, 0)).tolist(), pa.list_(pa.float64()))], names=["toxic", "x"])
 
     return run
 
@@ -192,6 +252,8 @@ def train(docs: DataFrame, labels: DataFrame, per_label: int = SAMPLE_PER_LABEL)
     At most ``per_label`` rows of each label, those of least hash, are fitted on. Terms come from two thirds of them,
     the regression from the rest, so it sees terms as precise as they are on new texts.
     """
+    common.small_batches(docs.sparkSession)
+    docs = docs.select("doc_id", "text")
     known = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~common.is_held_out(F.col("doc_id")))
     known = known.groupBy(F.col("doc_id").alias("of")).agg(F.max("toxic").cast("int").alias("toxic"))
     some = None
@@ -219,10 +281,10 @@ def train(docs: DataFrame, labels: DataFrame, per_label: int = SAMPLE_PER_LABEL)
 def _score(terms: list[str], weights: list[float], w: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(terms, weights)
-        for batch in batches:
-            x = np.array([scorer.features(t) for t in batch.column(2).to_pylist()]).reshape(-1, FEATURES)
+        for table in common.chunks(batches, 0, BLOCK_BYTES):
+            x = scorer.features(common.array(table, 0))
             p = 1 / (1 + np.exp(-np.clip(x @ w[:-1] + w[-1], -30, 30)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(p), pa.array((p >= THRESHOLD).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
+            yield pa.RecordBatch.from_arrays([common.array(table, 1), common.array(table, 2), pa.array(p), pa.array((p >= THRESHOLD).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
     return run
 
@@ -231,10 +293,16 @@ def score(docs: DataFrame, labels: DataFrame, model: tuple[list[str], list[float
     """One row per document: doc_id, held_out, score in [0, 1], predicted (1 from a score of 0.7).
 
     Whole texts are scored; null and empty ones get the score of a text without hits. Without labels of both kinds
-    there is no lexicon and every score is low. Repeated rows score alike; a null doc_id counts as held out.
+    there is no lexicon and every score is low. Repeated rows score alike; a null doc_id counts as held out. Columns
+    other than doc_id and text (of labels: doc_id and toxic) are ignored, whatever their names; an empty table gives an
+    empty result.
+
+    Limits of the model: the lexicon holds the LEXICON_TERMS strongest terms of TERM_LENGTH letters or more that
+    MIN_DOCS sampled texts hold; terms under FUZZY_LENGTH letters are found only as they are (or with signs for
+    letters), longer ones also with one insertion, deletion or substitution, but not with two letters swapped.
     """
     model = model or train(docs, labels)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.is_held_out(F.col("doc_id")).alias("held_out"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    rows = common.documents(docs).select("text", "doc_id", common.is_held_out(F.col("doc_id")).alias("held_out"))
     return rows.mapInArrow(_score(*model), "doc_id long, held_out boolean, score double, predicted int")
 
 
