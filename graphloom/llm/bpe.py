@@ -120,7 +120,7 @@ def _apply(path: str, uri: str, usual, vocabulary, digest: bool):
                 else:
                     out.append((doc_id, len(ids), ids.astype(np.int32), body))
                     held += len(ids)
-                if held > 1 << 20:
+                if held > 1 << 18:
                     yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], of) for k, of in enumerate(kinds)], names=names)
                     out, held = [], 0
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], of) for k, of in enumerate(kinds)], names=names)

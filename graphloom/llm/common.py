@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 _LOCAL: dict[str, str] = {}
 #: Bytes of an Arrow batch that goes to Python, about.
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 1 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -155,10 +155,16 @@ def release() -> None:
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)
-    except (OSError, AttributeError):  # another C library
+    except (OSError, AttributeError):
         pass
 
 
+def rows_of(spark: SparkSession, rows: list[tuple], schema: pa.Schema) -> DataFrame:
+    """A small table of the driver; it goes through Arrow, so that no Python worker starts for it."""
+    columns = [pa.array([r[k] for r in rows], field.type) for k, field in enumerate(schema)]
+    return spark.createDataFrame(pa.Table.from_arrays(columns, schema=schema))
+
+
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     import public_tokenizers
 

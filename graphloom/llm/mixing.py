@@ -8,11 +8,12 @@ prefix-summed first and rows are then ordered within a bucket only, so no source
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-import pyarrow as pa
 
 from . import common
+from .words import Words
 
 BUCKETS = 2048
 MAX_EPOCHS = 3
@@ -20,16 +21,17 @@ WEIGHTS = (5.0, 2.0, 1.0)
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
-    """docs with ``size``, the number of words [^\\x20\\x09-\\x0D]+; the text isn't kept."""
-    rest = [c for c in docs.columns if c != "text"]
-    cast = docs.select(*rest, F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("text"))
-    schema = docs.select(*rest, F.lit(0).cast("long").alias("size")).schema
+    """docs with ``size``, the number of words [^\\x20\\x09-\\x0D]+, in place of the text; a column of that name goes."""
+    common.small_batches(docs.sparkSession)
+    rest = [c for c in docs.columns if c not in ("text", "size")]
+    text = F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("text")
+    cast = docs.select(text, *rest)
+    schema = docs.select(*rest).withColumn("size", F.lit(0).cast("long")).schema
 
     def count(batches):
-        for batch in batches:
-            at = batch.schema.get_field_index("text")
-            sizes = [len(x.split()) for x in batch.column(at).to_pylist()]  # bytes.split cuts at ASCII white space only
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(batch.num_columns) if k != at), pa.array(sizes, pa.int64())], names=[*rest, "size"])
+        for table in common.chunks(batches, 0):
+            sizes = Words(common.array(table, 0)).sizes
+            yield pa.RecordBatch.from_arrays([*(common.array(table, k) for k in range(1, table.num_columns)), pa.array(sizes.astype("int64"))], names=[*rest, "size"])
 
     return cast.mapInArrow(count, schema)
 
@@ -62,23 +64,24 @@ def uniform(doc_id: F.Column, seed: str = "mix") -> F.Column:
 
 
 def mix(sized: DataFrame, weights=WEIGHTS, share: float = 1.0, cap: float = MAX_EPOCHS, buckets: int = BUCKETS, seed: str = "mix", ties: tuple[str, ...] = ()) -> DataFrame:
-    """sized (doc_id, source, size, weight and more) with source_size, target, epochs and taken.
+    """doc_id, source, size, weight and the columns ``ties`` of sized, with source_size, target, epochs and taken.
 
     taken = epochs * size, plus what the fractional selection takes of the document: documents in key order until
     the rest of the target, rounded down to words, is used up; the document at the border gives only the words still
     wanted. A null or non-positive weight counts as 1. Ties in the key fall back to doc_id; rows that repeat a
-    doc_id and size take their turns one after the other, by the columns ``ties``; without these they are alike. Sources that hold no word take nothing.
+    doc_id and size take their turns one after the other, by the columns ``ties``; without these they are alike. Sources that hold no word take nothing. Other columns are left out; an empty table gives an empty result.
     The few rows of source totals come to the driver: one row per source.
     """
     spark = sized.sparkSession
     key = -F.log(uniform(F.col("doc_id"), seed)) / F.when(F.col("weight") > 0, F.col("weight").cast("double")).otherwise(1.0)
     # 1 - exp(-key) spreads keys of weight 1 evenly; other weights stay monotone
-    sized = sized.withColumn("es_key", key).withColumn("bucket", F.least(F.floor((1.0 - F.exp(-F.col("es_key"))) * buckets), F.lit(buckets - 1)).cast("int"))
+    keep = [c for c in ("doc_id", "source", "size", "weight", *ties) if c in sized.columns]
+    sized = sized.select(*dict.fromkeys(keep)).withColumn("es_key", key).withColumn("bucket", F.least(F.floor((1.0 - F.exp(-F.col("es_key"))) * buckets), F.lit(buckets - 1)).cast("int"))
     parts = sized.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size"))
     parts = common.materialize(parts)
     totals = [(r["source"], r["n"] or 0) for r in parts.groupBy("source").agg(F.sum("bucket_size").alias("n")).collect()]
-    schema = "source string, source_size long, target double"
-    plan = F.broadcast(spark.createDataFrame(targets(totals, weights, share, cap), schema))
+    schema = pa.schema([("source", pa.string()), ("source_size", pa.int64()), ("target", pa.float64())])
+    plan = F.broadcast(common.rows_of(spark, targets(totals, weights, share, cap), schema))
     same = F.col("source").eqNullSafe(F.col("by"))
     plan = plan.withColumnRenamed("source", "by")
     before = parts.withColumn("before", F.sum("bucket_size").over(Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)))

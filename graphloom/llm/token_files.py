@@ -228,7 +228,7 @@ def read_token_files(uri: str, manifest: DataFrame, with_ids: bool = True) -> Da
     for _, file, n in shards:
         plan.append((file, before))
         before += n
-    jobs = spark.createDataFrame(plan, "file string, before long")
+    jobs = common.rows_of(spark, plan, pa.schema([("file", pa.string()), ("before", pa.int64())]))
     jobs = jobs.repartition(max(1, len(plan)), "file") if plan else jobs
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32())][: 5 if with_ids else 4]
     names = ["doc_id", "start", "n_tokens", "ids_crc32", "ids"][: len(kinds)]

@@ -27,7 +27,7 @@ COMMON_SAMPLE, COMMON_UNITS = 8000, 250_000
 #: Longest common unit in bytes; longer ones are encoded where they occur.
 COMMON_BYTES = 100
 #: Bytes of text that a kernel handles at once; a longer text is a block of its own.
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 2 << 20
 #: Units beyond the common ones that a task remembers.
 RECENT_UNITS = 200_000
 #: Units whose ids are put together at once.
@@ -254,7 +254,7 @@ def common_units(docs: DataFrame, path: str, sample: int = COMMON_SAMPLE, limit:
             ends = np.r_[0, np.cumsum(sizes)] * found.itemsize
             yield pa.RecordBatch.from_arrays([batch.column(0), _binary(found.tobytes(), ends)], names=["unit", "ids"])
 
-    drawn = docs.join(F.broadcast(spark.createDataFrame([(k,) for k in ids], "of long")), F.col("doc_id") == F.col("of"), "left_semi")
+    drawn = docs.join(F.broadcast(common.rows_of(spark, [(k,) for k in ids], pa.schema([("of", pa.int64())]))), F.col("doc_id") == F.col("of"), "left_semi")
     units = drawn.select(F.col("text").cast("binary").alias("text")).mapInArrow(count, "unit binary, n long").groupBy("unit").agg(F.sum("n").alias("n"))
     units = units.orderBy(F.desc("n"), "unit").limit(limit).select("unit").repartition(1 + limit // 100_000)  # a tokenizer takes a while to load
     table = units.mapInArrow(encode, "unit binary, ids binary").toArrow().combine_chunks()
