@@ -3,37 +3,41 @@
 On a bounded sample: an exact neighbour graph, a balanced partitioning of that graph, and a softmax classifier that
 predicts a vector's partition. Every row is indexed under its most probable partition. A query goes to its most
 probable partitions, as many as reach the wanted recall on the sample, and is reranked there by the exact inner product.
-Partitions are cut into blocks of bounded size; queries meet each block, block by block.
+Partitions grow in number with the rows, up to MAX_PARTS; beyond that they are cut into blocks of bounded size, and
+queries meet each block of a partition they are sent to.
 """
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
 
-#: Rows that the partitioning and the classifier are fitted on, at most.
-SAMPLE = 6000
+#: Rows of the sample for each partition, and at most: the partitioning and the classifier are fitted on it.
+SAMPLE_OF_PART, SAMPLE = 128, 16_384
 GRAPH_K = 10
-#: Rows for each partition, about, and partitions at most.
-PART_ROWS, MAX_PARTS = 4000, 64
+#: Rows for each partition, about, and partitions at least and at most.
+PART_ROWS, MIN_PARTS, MAX_PARTS = 4000, 2, 256
 BLOCK_ROWS = 8192
-TARGET_RECALL = 0.97
+TARGET_RECALL = 0.95
+#: Different dimensions of vectors; each is searched by itself.
+MAX_DIMENSIONS = 16
 
 
 def neighbour_graph(x: np.ndarray, k: int = GRAPH_K) -> np.ndarray:
     """[n, k] nearest others by inner product of unit vectors."""
     u = x / np.linalg.norm(x, axis=1, keepdims=True)
     out = np.empty((len(u), min(k, len(u) - 1)), np.int64)
-    for at in range(0, len(u), 1000):
-        s = u[at : at + 1000] @ u.T
+    for at in range(0, len(u), 256):
+        s = u[at : at + 256] @ u.T
         s[np.arange(len(s)), at + np.arange(len(s))] = -np.inf
-        out[at : at + 1000] = np.argpartition(-s, out.shape[1] - 1, axis=1)[:, : out.shape[1]]
+        out[at : at + 256] = np.argpartition(-s, out.shape[1] - 1, axis=1)[:, : out.shape[1]]
     return out
 
 
@@ -100,11 +104,13 @@ def _logits(x: np.ndarray, w: np.ndarray) -> np.ndarray:
     return x @ w[:-1] + w[-1]
 
 
-def fit(sample: np.ndarray, rows: int, neighbours: int = 20, recall: float = TARGET_RECALL, part_rows: int = PART_ROWS, max_parts: int = MAX_PARTS) -> tuple[np.ndarray | None, int]:
-    """(classifier, partitions to probe); (None, 1) when one partition is enough."""
-    parts = int(min(max_parts, -(-rows // part_rows), len(sample) // 64))
-    if parts < 2:
-        return None, 1
+def parts_for(rows: int, part_rows: int = PART_ROWS, max_parts: int = MAX_PARTS) -> int:
+    return int(min(max_parts, max(MIN_PARTS, -(-rows // part_rows))))
+
+
+def fit(sample: np.ndarray, parts: int, neighbours: int = 20, recall: float = TARGET_RECALL) -> tuple[np.ndarray, int]:
+    """(classifier, partitions to probe) for a sample of at least two vectors."""
+    parts = min(parts, len(sample))
     scale = sample / max(1e-12, float(np.linalg.norm(sample, axis=1).mean())) * np.sqrt(sample.shape[1])
     part = balanced_partition(scale, neighbour_graph(sample), parts)
     w = fit_softmax(scale, part, parts)
@@ -114,13 +120,10 @@ def fit(sample: np.ndarray, rows: int, neighbours: int = 20, recall: float = TAR
     asked = np.linspace(0, len(sample) - 1, min(500, len(sample))).astype(int)
     s = sample[asked] @ sample.T
     s[np.arange(len(asked)), asked] = -np.inf
-    near = np.argpartition(-s, min(neighbours, len(sample) - 1) - 1, axis=1)[:, :neighbours]
+    near = np.argpartition(-s, min(neighbours, len(sample) - 1) - 1, axis=1)[:, : min(neighbours, len(sample) - 1)]
     rank_of = np.argsort(order, axis=1)  # part -> its rank for each row
     ranks = rank_of[asked[:, None], home[near]]
-    for m in range(1, parts + 1):
-        if (ranks < m).mean() >= recall:
-            return w, m
-    return w, parts
+    return w, next((m for m in range(1, parts) if (ranks < m).mean() >= recall), parts)
 
 
 def _valid(df: DataFrame) -> DataFrame:
@@ -148,7 +151,7 @@ def _smallest_ids(x: np.ndarray, ids: np.ndarray, keep: int) -> np.ndarray:
     return np.sort(order[rank < keep])
 
 
-def _place(w: np.ndarray | None, blocks: int, keep: int, dim: int):
+def _place(w: np.ndarray, blocks: int, keep: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
@@ -156,7 +159,7 @@ def _place(w: np.ndarray | None, blocks: int, keep: int, dim: int):
             x, ids = _matrix(batch), batch.column(0).to_numpy()
             rows = _smallest_ids(x, ids, keep)
             x, ids = x[rows], ids[rows]
-            part = _logits(x, w).argmax(1) if w is not None else np.zeros(len(x), int)
+            part = _logits(x, w).argmax(1)
             blk = _hash(ids) % blocks
             yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(blk, pa.int32()), pa.array(np.zeros(len(x)), pa.int32()), pa.array(ids), pa.array([r.tobytes() for r in x], pa.binary())], names=["part", "blk", "asks", "id", "x"])
 
@@ -167,13 +170,13 @@ def _hash(ids: np.ndarray) -> np.ndarray:
     return ((ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).astype(np.int64)
 
 
-def _route(w: np.ndarray | None, probes: int, blocks: int):
+def _route(w: np.ndarray, probes: int, blocks: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
             x, ids = _matrix(batch), batch.column(0).to_numpy()
-            top = np.argsort(-_logits(x, w), axis=1)[:, :probes] if w is not None else np.zeros((len(x), 1), int)
+            top = np.argsort(-_logits(x, w), axis=1)[:, :probes]
             own = np.repeat(np.arange(len(x)), top.shape[1] * blocks)
             part = np.repeat(top.ravel(), blocks)
             blk = np.tile(np.arange(blocks), top.size)
@@ -185,23 +188,26 @@ def _route(w: np.ndarray | None, probes: int, blocks: int):
     return run
 
 
+def _best(ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k best distinct ids, each with its best score, best first, ties to the smaller id."""
+    order = np.lexsort((ids, -scores))
+    _, first = np.unique(ids[order], return_index=True)
+    order = order[np.sort(first)[:k]]
+    return ids[order], scores[order]
+
+
 def _rerank(k: int):
-    """Rows sorted by (part, blk, asks): a block's vectors come before the queries that meet it."""
+    """Rows sorted by (part, blk, asks), a block's vectors before the queries that meet it, to one row for each query and block."""
 
-    def nearest(ids: np.ndarray, x: np.ndarray, q_ids: np.ndarray, q: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def nearest(ids: np.ndarray, x: np.ndarray, again: int, q_ids: np.ndarray, q: np.ndarray) -> Iterator[pa.RecordBatch]:
         for at in range(0, len(q), 512):
             s = q[at : at + 512] @ x.T
             s[q_ids[at : at + 512, None] == ids[None, :]] = -np.inf
-            take = min(k, len(ids))
+            take = min(k + again, len(ids))
             edge = -np.partition(-s, take - 1, axis=1)[:, take - 1]
             row, col = np.nonzero((s >= (edge - 1e-9 * (1 + np.abs(edge)))[:, None]) & (s > -np.inf))
-            score = (q[at + row] * x[col]).sum(1)
-            order = np.lexsort((ids[col], -score, row))
-            row, col, score = row[order], col[order], score[order]
-            first = np.r_[True, row[1:] != row[:-1]]
-            rank = np.arange(len(row)) - np.maximum.accumulate(np.where(first, np.arange(len(row)), 0))
-            ok = rank < k
-            yield pa.RecordBatch.from_arrays([pa.array(q_ids[at + row[ok]]), pa.array(ids[col[ok]]), pa.array(score[ok])], names=["query_id", "vec_id", "score"])
+            best = [_best(ids[col[a:b]], (q[at + r] * x[col[a:b]]).sum(1), k) for r, (a, b) in enumerate(itertools.pairwise(np.searchsorted(row, np.arange(len(s) + 1)).tolist()))]
+            yield pa.RecordBatch.from_arrays([pa.array(q_ids[at : at + 512]), pa.array([i.tobytes() for i, _ in best], pa.binary()), pa.array([v.tobytes() for _, v in best], pa.binary())], names=["query_id", "ids", "scores"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, ids, rows, held = None, [], [], None
@@ -223,46 +229,78 @@ def _rerank(k: int):
                     if held is None:
                         held = np.concatenate(ids), np.concatenate(rows)
                         pick = _smallest_ids(held[1], held[0], k + 1)
-                        held = held[0][pick], held[1][pick]
+                        held = held[0][pick], held[1][pick], len(pick) - len(np.unique(held[0][pick]))
                     yield from nearest(*held, own[a:b], x)
 
     return run
 
 
-def search(vectors: DataFrame, queries: DataFrame, k: int = 20, sample: int = SAMPLE, recall: float = TARGET_RECALL, part_rows: int = PART_ROWS, max_parts: int = MAX_PARTS, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def _merge(k: int):
+    """Rows sorted by query to its k best, kept while they come in."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, ids, scores, done = None, np.zeros(0, np.int64), np.zeros(0), []
+
+        def out():
+            cut = [(q, rank, i, s) for q, own, values in done for rank, (i, s) in enumerate(zip(own.tolist(), values.tolist(), strict=True), 1)]
+            return pa.RecordBatch.from_arrays([pa.array([r[c] for r in cut], kind) for c, kind in enumerate((pa.int64(), pa.int32(), pa.int64(), pa.float64()))], names=["query_id", "rank", "vec_id", "score"])
+
+        for batch in batches:
+            for query, more, values in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True):
+                if query != at:
+                    if at is not None:
+                        done.append((at, ids, scores))
+                    at, ids, scores = query, np.zeros(0, np.int64), np.zeros(0)
+                ids, scores = _best(np.r_[ids, np.frombuffer(more, np.int64)], np.r_[scores, np.frombuffer(values, np.float64)], k)
+            yield out()
+            done = []
+        if at is not None:
+            done.append((at, ids, scores))
+        yield out()
+
+    return run
+
+
+def model_of(base: DataFrame, rows: int, k: int = 20, recall: float = TARGET_RECALL, part_rows: int = PART_ROWS, max_parts: int = MAX_PARTS) -> tuple[np.ndarray, int]:
+    """The classifier [dimension + 1, partitions] and the partitions to probe, fitted on the rows of least hash."""
+    parts = parts_for(rows, part_rows, max_parts)
+    sample = min(SAMPLE, max(1024, parts * SAMPLE_OF_PART))
+    drawn = base.orderBy(F.xxhash64("vec_id"), "vec_id", "v").limit(sample).toArrow()
+    x = np.array(drawn.column("v").to_pylist(), np.float64)
+    return fit(x, parts, k, recall) if len(x) > 1 else (np.zeros((x.shape[1] + 1, 1)), 1)
+
+
+def search(vectors: DataFrame, queries: DataFrame, k: int = 20, recall: float = TARGET_RECALL, part_rows: int = PART_ROWS, max_parts: int = MAX_PARTS, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """query_id, rank, vec_id, score: for every row of ``queries`` (vec_id, embedding) its k nearest rows found.
 
     Nearest is by largest inner product in double precision, ties to the smaller vec_id; a row with the query's own
-    vec_id is no candidate. Vectors that are null, empty, zero, or hold null or non-finite components take no part, nor do
-    those with another dimension than most of the sample. Rows that repeat a vec_id are one candidate, with their best
-    score. No vectors or no queries give an empty result. Every valid row is indexed; the model is fitted on
-    ``sample`` rows of least hash. Recall is aimed at, not bound: the number of partitions asked reaches ``recall``
-    on the sample.
+    vec_id is no candidate. Vectors that are null, empty, zero, or hold null or non-finite components take no part, nor
+    do rows without a vec_id. A query's candidates have its dimension; more than MAX_DIMENSIONS of them raise. Rows that
+    repeat a vec_id are one candidate, with their best score. Other columns are ignored; no vectors or no queries give
+    an empty result. Every valid row is indexed; the model is fitted on at most SAMPLE rows of least hash. Recall is
+    aimed at, not bound: the number of partitions asked reaches ``recall`` on the sample.
     """
     spark = vectors.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    base = _valid(vectors)
-    rows = base.count()
-    drawn = base.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).toArrow()
-    kinds = "query_id long, rank int, vec_id long, score double"
-    if not rows:
-        return spark.createDataFrame([], kinds)
-    lists = drawn.column("v").to_pylist()
-    dims = np.bincount([len(x) for x in lists])
-    dim = int(dims.argmax())
-    x = np.array([v for v in lists if len(v) == dim])
-    w, probes = fit(x, rows, k, recall, part_rows, max_parts)
-    parts = 1 if w is None else w.shape[1]
-    blocks = max(1, -(-rows // (parts * block_rows)))
-    layout = "part int, blk int, asks int, id long, x binary"
-    same = F.size("v") == dim
-    placed = base.where(same).mapInArrow(_place(w, blocks, k + 1, dim), layout)
-    asked = _valid(queries).where(same).mapInArrow(_route(w, probes, blocks), layout)
-    met = placed.unionByName(asked).repartition(n, "part", "blk").sortWithinPartitions("part", "blk", "asks")
-    found = met.mapInArrow(_rerank(k), "query_id long, vec_id long, score double")
-    best = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return best.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    common.small_batches(spark)
+    every, asking = _valid(vectors), _valid(queries)
+    sizes = sorted((r["dim"], r["n"]) for r in every.groupBy(F.size("v").alias("dim")).agg(F.count("*").alias("n")).limit(MAX_DIMENSIONS + 1).collect())
+    if len(sizes) > MAX_DIMENSIONS:
+        raise ValueError(f"vectors of more than {MAX_DIMENSIONS} dimensions")
+    if not sizes:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    layout, found = "part int, blk int, asks int, id long, x binary", None
+    for dim, rows in sizes:
+        base = every.where(F.size("v") == dim)
+        w, probes = model_of(base, rows, k, recall, part_rows, max_parts)
+        blocks = max(1, -(-rows // (w.shape[1] * block_rows)))
+        placed = base.mapInArrow(_place(w, blocks, k + 1), layout)
+        asked = asking.where(F.size("v") == dim).mapInArrow(_route(w, probes, blocks), layout)
+        met = placed.unionByName(asked).repartition(n, "part", "blk").sortWithinPartitions("part", "blk", "asks")
+        own = met.mapInArrow(_rerank(k), "query_id long, ids binary, scores binary")
+        found = own if found is None else found.unionByName(own)
+    ranked = found.repartition(n, "query_id").sortWithinPartitions("query_id")
+    return ranked.mapInArrow(_merge(k), "query_id long, rank int, vec_id long, score double")
 
 
 def op2_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
