@@ -15,6 +15,8 @@ from . import common
 #: Longest table of surviving (length, prefix) groups that is broadcast; beyond it the join is shuffled.
 BROADCAST_GROUPS = 200_000
 PREFIX_CHARS = 256
+#: Rows of a group of equal texts from which it is joined back by broadcast, if there are no more than BROADCAST_GROUPS such groups.
+HOT_GROUP = 1000
 
 
 def normalized(text: F.Column) -> F.Column:
@@ -23,7 +25,7 @@ def normalized(text: F.Column) -> F.Column:
     return F.when(text.rlike(r"[\x09-\x0D]|\x20[\x09-\x0D\x20]"), F.regexp_replace(text, r"[\x20\x09-\x0D]+", " ")).otherwise(text)
 
 
-def exact_dedup(docs: DataFrame, prefix_chars: int = PREFIX_CHARS, digest_all: bool = False, broadcast_groups: int = BROADCAST_GROUPS) -> DataFrame:
+def exact_dedup(docs: DataFrame, prefix_chars: int = PREFIX_CHARS, digest_all: bool = False, broadcast_groups: int = BROADCAST_GROUPS, hot_group: int = HOT_GROUP) -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256.
 
     Equal means identical after white-space normalisation; the row with the smallest doc_id stays. Null texts are
@@ -49,7 +51,16 @@ def exact_dedup(docs: DataFrame, prefix_chars: int = PREFIX_CHARS, digest_all: b
         hashed = keyed.join(suspects, ["len", "prefix"], "left").select("doc_id", "len", "prefix", "suspect", F.when(F.col("suspect"), digest).alias("text_sha256"))
     hashed = common.materialize(hashed.select("doc_id", "len", "suspect", "text_sha256"))
     groups = hashed.where("suspect").groupBy("len", "text_sha256").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1")
-    out = hashed.join(groups, ["len", "text_sha256"], "left")
+    groups = common.materialize(groups)
+    hot = groups.where(F.col("n") >= hot_group)
+    by = ["len", "text_sha256"]
+    if hot.limit(broadcast_groups + 1).count() <= broadcast_groups:
+        # rows of hot groups never meet in one task
+        found = hashed.join(F.broadcast(hot), by)
+        rest = hashed.join(F.broadcast(hot.select(*by)), by, "left_anti").join(groups.where(F.col("n") < hot_group), by, "left")
+        out = found.unionByName(rest)
+    else:
+        out = hashed.join(groups, by, "left")
     keep = F.when(F.col("n").isNotNull(), F.col("first")).otherwise(F.col("doc_id"))
     return out.select("doc_id", keep.alias("keep_id"), F.coalesce("n", F.lit(1)).cast("long").alias("group_size"), F.col("doc_id").eqNullSafe(keep).alias("kept"), "text_sha256")
 
