@@ -3,8 +3,8 @@
 Every language has a table of smoothed log probabilities of byte trigrams, hashed into a fixed number of slots, from
 the trigram counts of all its training documents. A document is a bag of words, each with a likelihood under each
 language (the product over its trigrams). Expectation-maximisation estimates the proportions of the languages; the set
-of languages is the one of the highest likelihood less a penalty for each language: the best single one, all, or those
-that EM gives a share. All documents of a block are estimated at once.
+of languages is chosen by likelihood less a penalty for each language: from the best single one on, the language that
+adds most joins as long as that pays. All documents of a block are estimated at once.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from . import common
 
 SLOTS = 1 << 17
 SMOOTHING = 0.1
-ROUNDS, MIN_SHARE = 12, 0.03
+ROUNDS = 12
 UNKNOWN = "und"
 #: Bytes of text that a kernel handles at once.
 BLOCK_BYTES = 2 << 20
@@ -104,6 +104,30 @@ def _proportions(like: np.ndarray, peak: np.ndarray, first: np.ndarray, of: np.n
     return pi, np.add.reduceat(total.astype(np.float64), first)
 
 
+def _grow_sets(like: np.ndarray, peak: np.ndarray, first: np.ndarray, sizes: np.ndarray, penalty: np.ndarray, rows: np.ndarray, pick: np.ndarray, value: np.ndarray) -> None:
+    """Forward selection for the documents ``rows``, whose pick and value hold the best single language; both are updated."""
+    k = like.shape[1]
+    member = pick[rows] > 0
+    while len(rows):
+        n = sizes[rows]
+        begin = np.r_[0, np.cumsum(n)[:-1]]
+        own = np.repeat(first[rows] - begin, n) + np.arange(int(n.sum()))
+        of = np.repeat(np.arange(len(rows)), n)
+        best, best_pi, best_lang = np.full(len(rows), -np.inf), np.zeros((len(rows), k), np.float32), np.zeros(len(rows), int)
+        for lang in range(k):
+            start = member.astype(np.float32)
+            start[:, lang] = 1.0
+            pi, ll = _proportions(like[own], peak[own], begin, of, n, start / start.sum(1, keepdims=True), ROUNDS)
+            worth = np.where(member[:, lang], -np.inf, ll - (member.sum(1) + 1) * penalty[rows])
+            better = worth > best
+            best[better], best_pi[better], best_lang[better] = worth[better], pi[better], lang
+        grown = best > value[rows]
+        value[rows[grown]], pick[rows[grown]] = best[grown], best_pi[grown]
+        member[np.flatnonzero(grown), best_lang[grown]] = True
+        grown &= ~member.all(1)
+        rows, member = rows[grown], member[grown]
+
+
 def infer(texts: list[bytes], logp: np.ndarray) -> np.ndarray:
     """Proportions [texts, languages] of the chosen set of languages; all zero where a text has no letter."""
     out = np.zeros((len(texts), logp.shape[1]), np.float32)
@@ -126,27 +150,23 @@ def infer(texts: list[bytes], logp: np.ndarray) -> np.ndarray:
         best = single.argmax(1)
         pick = np.eye(k, dtype=np.float32)[best]
         value = single.max(1) - penalty
-        pi, ll = _proportions(like, peak, first, of, sizes, np.full((len(first), k), 1.0 / k, np.float32), ROUNDS)
-        better = ll - k * penalty > value
-        pick[better], value[better] = pi[better], (ll - k * penalty)[better]
-        kept = pi >= MIN_SHARE
-        some = (kept.sum(1) > 1) & (kept.sum(1) < k)
-        if some.any():
-            own = np.flatnonzero(some[of])
-            small_of = np.cumsum(some)[of[own]] - 1
-            begin = pi[some] * kept[some]
-            fit, ll = _proportions(like[own], peak[own], np.r_[0, np.cumsum(sizes[some])[:-1]], small_of, sizes[some], begin / begin.sum(1, keepdims=True), 4)
-            worth = ll - kept[some].sum(1) * penalty[some]
-            take = worth > value[some]
-            rows = np.flatnonzero(some)[take]
-            pick[rows] = fit[take]
+        _, ll = _proportions(like, peak, first, of, sizes, np.full((len(first), k), 1.0 / k, np.float32), ROUNDS)
+        # no set is likelier than all languages together, and it has two at least
+        open_ = np.flatnonzero(ll - 2 * penalty > value)
+        if len(open_):
+            _grow_sets(like, peak, first, sizes, penalty, open_, pick, value)
         out[at + doc[first]] = pick
     return out
 
 
+def _small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    yield from batches
+    common.release()
+
+
 def _predict(langs: list[str], logp: np.ndarray, carry: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _small(batches):
             texts = batch.column(1).to_pylist()
             given = [x is not None and any(map(str.isalpha, x)) for x in texts]
             pi = infer([(x or "").encode() for x in texts], logp) if langs else np.zeros((len(texts), 1), np.float32)
@@ -168,9 +188,10 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray] | None = None,
     """One row per document: doc_id, held_out, lang_pred, score and the proportions of its languages.
 
     score is the share of the predicted language. ``und`` with score 0 where the text is null or has no letter, and
-    everywhere when there is no training text. A null doc_id counts as held out. Repeated rows are judged alike.
+    everywhere when there is no training text. Other columns are ignored, an empty table gives an empty result. A null doc_id counts as held out. Repeated rows are judged alike.
     With ``carry`` the columns of documents stay, and the proportions don't.
     """
+    common.small_batches(docs.sparkSession)
     langs, logp = model or train(docs)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), common.is_held_out(F.col("doc_id")).alias("held_out"), *(["lang", "source", "n_chars"] if carry else []))
     out = "doc_id long, held_out boolean, lang_pred string, score double"
