@@ -2,30 +2,58 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def ranges(df: DataFrame, key: str, name: str = "_range") -> DataFrame:
+    """df with a range number that ascends with a numeric ``key``; the ranges are literals of the plan, between quantiles.
+
+    A row finds its range by bisection.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cuts = sorted(set(df.approxQuantile(key, [k / n for k in range(1, n)], 0.01))) if n > 1 else []
+
+    def find(low: int, high: int) -> Column:
+        if low == high:
+            return F.lit(low)
+        middle = (low + high) // 2
+        return F.when(F.col(key) < F.lit(cuts[middle]), find(low, middle)).otherwise(find(middle + 1, high))
+
+    return df.withColumn(name, find(0, len(cuts)))
+
+
 def with_position(df: DataFrame, key: str, name: str = "pos") -> DataFrame:
     """df with its 0-based position in the order of a numeric, unique ``key``.
 
-    Rows go to ranges between fixed quantiles, are numbered within their range, and get the range's offset. The
-    ranges are literals of the plan, so each evaluation numbers alike; only the sizes of the ranges are collected.
+    Rows are numbered within their range and get the range's offset; only the sizes of the ranges are collected.
     """
-    spark = df.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cuts = sorted(set(df.approxQuantile(key, [k / n for k in range(1, n)], 0.01))) if n > 1 else []
-    bounds = F.array(*[F.lit(float(c)) for c in cuts]) if cuts else F.array().cast("array<double>")
-    ranged = df.withColumn("_range", F.size(F.filter(bounds, lambda b: b <= F.col(key).cast("double"))))
+    ranged = ranges(df, key)
     before, offsets = 0, []
     for r in sorted(ranged.groupBy("_range").agg(F.count("*").alias("n")).collect(), key=lambda r: r["_range"]):
         offsets.append((r["_range"], before))
         before += r["n"]
-    table = F.broadcast(spark.createDataFrame(offsets, "_range int, _before long"))
+    table = F.broadcast(df.sparkSession.createDataFrame(offsets, "_range int, _before long"))
     inside = F.row_number().over(Window.partitionBy("_range").orderBy(key)) - 1
     return ranged.withColumn("_at", inside).join(table, "_range").withColumn(name, F.col("_before") + F.col("_at")).drop("_range", "_at", "_before")
 
 
+def with_next(df: DataFrame, key: str, value: str, name: str) -> DataFrame:
+    """Rows that have a successor in the order of ``key``, with the successor's ``value``; one pass over the rows.
+
+    The first row of each range, one for each, is what the last row of the range before it is followed by.
+    """
+    ranged = ranges(df, key)
+    first = {r["_range"]: r["first"] for r in ranged.groupBy("_range").agg(F.min(F.struct(key, value)).alias("first")).collect()}
+    after = sorted(first)
+    edges = [(r, *first[s]) for r, s in zip(after[:-1], after[1:], strict=True)]
+    kinds = f"_range int, _key {df.schema[key].dataType.simpleString()}, _value {df.schema[value].dataType.simpleString()}"
+    table = F.broadcast(df.sparkSession.createDataFrame(edges, kinds)).select("_range", F.struct(F.col("_key").alias(key), F.col("_value").alias(value)).alias("_edge"))
+    following = F.lead(F.struct(key, value)).over(Window.partitionBy("_range").orderBy(key))
+    found = ranged.withColumn("_next", following).join(table, "_range", "left").withColumn("_next", F.coalesce("_next", "_edge"))
+    return found.where("_next is not null").withColumn(name, F.col("_next")[value]).drop("_range", "_next", "_edge")
+
+
 def buffers(df: DataFrame, size: int, key: str) -> DataFrame:
     """Count-based tumbling buffers over the order; the last may be short."""
     return with_position(df, key).withColumn("buffer", F.floor(F.col("pos") / size).cast("long"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,22 +16,78 @@ def merge_mean(emb: DataFrame, key: str = "vertex", vec: str = "vec", divisor: i
     return parts.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("at", "x"))).alias("p")).select(key, F.transform("p", lambda s: s.x).alias(vec))
 
 
-def closest_pairs(emb: DataFrame, k: int, blocks: int = 8) -> DataFrame:
+#: Vectors of a block; blocks meet two at a time in one task.
+BLOCK_ROWS = 2000
+
+
+def _block_pairs(emb: DataFrame, queries: DataFrame | None = None) -> DataFrame:
+    """x, y, side, id, vec: both sides of every pair of blocks, each pair once.
+
+    The sides are emb and ``queries`` (1), or emb with itself: then block pairs x <= y, and y's rows have side 1.
+    """
+    blocks = max(1, -(-emb.count() // BLOCK_ROWS))
+    block = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
+    own = emb.select("id", F.col("vec").cast("array<double>").alias("vec"), block.alias("b"))
+    if queries is None:
+        left = own.select(F.col("b").alias("x"), F.explode(F.sequence("b", F.lit(blocks - 1))).alias("y"), F.lit(0).alias("side"), "id", "vec")
+        right = own.select(F.explode(F.sequence(F.lit(0), "b")).alias("x"), F.col("b").alias("y"), F.lit(1).alias("side"), "id", "vec").where("x < y")
+        return left.unionByName(right)
+    asking = max(1, -(-queries.count() // BLOCK_ROWS))
+    mine = F.pmod(F.xxhash64("id"), F.lit(asking)).cast("int")
+    left = own.select(F.col("b").alias("x"), F.explode(F.sequence(F.lit(0), F.lit(asking - 1))).alias("y"), F.lit(0).alias("side"), "id", "vec")
+    right = queries.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("x"), mine.alias("y"), F.lit(1).alias("side"), "id", F.col("vec").cast("array<double>").alias("vec"))
+    return left.unionByName(right)
+
+
+def _near(a: np.ndarray, b: np.ndarray, k: int, other: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(rows of a, rows of b, squared distance) of at least the k closest pairs where ``other`` is true, with all their ties."""
+    d = (a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2 * (a @ b.T)
+    d[~other] = np.inf
+    flat = d.ravel()
+    edge = np.partition(flat, min(k, flat.size) - 1)[min(k, flat.size) - 1]
+    i, j = np.nonzero((d <= edge + 1e-9 * (1 + abs(edge))) & (d < np.inf))
+    return i, j, ((a[i] - b[j]) ** 2).sum(1)
+
+
+def closest_pairs(emb: DataFrame, k: int) -> DataFrame:
     """The k closest pairs i < j by squared distance, ties to smaller ids.
 
-    Vectors meet in block pairs, each block pair in one task's hash join, so neither side is broadcast whole.
+    Blocks of vectors meet two at a time; each pair of blocks gives its own k closest pairs and all their ties.
     """
-    part = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
-    left = emb.select(F.col("id").alias("i"), F.col("vec").alias("a"), part.alias("bi")).withColumn("bj", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    right = emb.select(F.col("id").alias("j"), F.col("vec").alias("b"), part.alias("bj")).withColumn("bi", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    pairs = left.hint("shuffle_hash").join(right, ["bi", "bj"]).where("i < j")
-    return pairs.select("i", "j", expr.squared_l2(F.col("a"), F.col("b")).alias("d")).orderBy("d", "i", "j").limit(k)
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        left, right = group[group.side == 0], group[group.side == 1]
+        right = right if len(right) else left
+        i, j = left.id.to_numpy(), right.id.to_numpy()
+        if not len(i) or not len(j):
+            return pd.DataFrame({"i": [], "j": [], "d": []})
+        same = group.x.iloc[0] == group.y.iloc[0]
+        other = i[:, None] < j[None, :] if same else i[:, None] != j[None, :]
+        r, c, d = _near(np.stack(left.vec.to_numpy()), np.stack(right.vec.to_numpy()), k, other)
+        return pd.DataFrame({"i": np.minimum(i[r], j[c]), "j": np.maximum(i[r], j[c]), "d": d})
+
+    return _block_pairs(emb).groupBy("x", "y").applyInPandas(run, "i long, j long, d double").orderBy("d", "i", "j").limit(k)
 
 
 def nearest_other(emb: DataFrame, queries: DataFrame) -> DataFrame:
-    """For each query (id, vec) its closest other vector."""
-    pairs = queries.select(F.col("id").alias("i"), F.col("vec").alias("a")).join(emb.select(F.col("id").alias("j"), F.col("vec").alias("b")), F.col("i") != F.col("j"))
-    return pairs.withColumn("d", expr.squared_l2(F.col("a"), F.col("b"))).groupBy("i").agg(F.min(F.struct("d", "j")).alias("m")).select("i", F.col("m.j").alias("j"), F.round("m.d", 6).alias("d"))
+    """For each query (id, vec) its closest other vector, ties to the smaller id."""
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        left, right = group[group.side == 0].sort_values("id"), group[group.side == 1]
+        if not len(left) or not len(right):
+            return pd.DataFrame({"i": [], "j": [], "d": []})
+        a, b, ids = np.stack(right.vec.to_numpy()), np.stack(left.vec.to_numpy()), left.id.to_numpy()
+        out = []
+        for q, x in zip(right.id.to_numpy(), a, strict=True):
+            d = ((b - x) ** 2).sum(1)
+            d[ids == q] = np.inf
+            at = int(d.argmin())
+            if d[at] < np.inf:
+                out.append((q, ids[at], d[at]))
+        return pd.DataFrame(out, columns=["i", "j", "d"])
+
+    found = _block_pairs(emb, queries).groupBy("x", "y").applyInPandas(run, "i long, j long, d double")
+    return found.groupBy("i").agg(F.min(F.struct("d", "j")).alias("m")).select("i", F.col("m.j").alias("j"), F.round("m.d", 6).alias("d"))
 
 
 def nearest_centroid(emb: DataFrame, centroids: DataFrame, k: int = 1) -> DataFrame:

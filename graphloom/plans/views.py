@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import graph
-from ..operators.order import with_position
+from ..operators.order import with_next
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,9 +15,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def consecutive(events: DataFrame) -> DataFrame:
     """seq, src, dest, op from rows of consecutive event_id; an error removes the edge."""
-    at = with_position(events.select("event_id", "user_id", "event_type"), "event_id")
-    after = at.select((F.col("pos") - 1).alias("pos"), F.col("user_id").alias("dest"))
-    pairs = at.join(after, "pos")
+    pairs = with_next(events.select("event_id", "user_id", "event_type"), "event_id", "user_id", "dest")
     return pairs.select(F.col("event_id").alias("seq"), F.col("user_id").alias("src"), "dest", F.when(F.col("event_type") == "error", "REMOVE").otherwise("ADD").alias("op"))
 
 
