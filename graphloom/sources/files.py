@@ -28,9 +28,14 @@ def event_text(spark: SparkSession, path: str) -> DataFrame:
 
 
 def event_csv(spark: SparkSession, path: str) -> DataFrame:
-    """A header line, then ``src,dest,timestamp,type[,key=value...]``; the tail is ragged, so lines are cut here."""
-    lines = spark.read.text(path).select(F.monotonically_increasing_id().alias("seq"), F.split("value", ",").alias("p"))
-    rows = lines.where("seq > 0 and size(p) >= 4")
+    """A header line in each file, then ``src,dest,timestamp,type[,key=value...]``; the tail is ragged, so lines are cut here.
+
+    A line of fewer than four fields, or with one that isn't a number where one has to be, raises.
+    """
+    lines = spark.read.csv(path, sep="\u0001", schema="value string", header=True, quote="", mode="FAILFAST")
+    rows = lines.select(F.monotonically_increasing_id().alias("seq"), F.split("value", ",").alias("p"))
+    short = F.raise_error(F.concat(F.lit("fewer than four fields: "), F.concat_ws(",", "p"))).cast("array<string>")
+    rows = rows.withColumn("p", F.when(F.size("p") < 4, short).otherwise(F.col("p")))
     attrs = F.when(F.size("p") > 4, F.str_to_map(F.concat_ws(",", F.slice("p", 5, F.size("p") - 4)), F.lit(","), F.lit("=")))
     number = [F.trim(F.col("p")[k]).cast("long").alias(c) for k, c in enumerate(("src", "dest", "ts"))]
     return rows.select("seq", *number, F.upper(F.trim(F.col("p")[3])).alias("op"), attrs.alias("attrs"))

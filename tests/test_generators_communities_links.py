@@ -76,16 +76,16 @@ def test_pack_bins(spark):
 
 
 def test_sequential_placement_fills_parts(spark):
-    b = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.8, 0.2]), (3, [0.2, 0.8]), (4, [0.0, 1.0])], "id long, vec array<double>").withColumn("buffer", F.lit(0))
+    b = spark.createDataFrame([(11, [3.0, 1.0]), (12, [2.5, 1.5]), (13, [-1.0, 2.0]), (14, [-2.0, 2.5])], "id long, vec array<double>").withColumn("buffer", F.lit(0))
     empty = spark.createDataFrame([(k, 0, None) for k in range(4)], "part int, size long, c array<double>")
     assert sorted(r.part for r in placement.fill_nearest(b, empty, 1, 1.0).collect()) == [0, 1, 2, 3]
-    anchors = spark.createDataFrame([(0, 1, [-1.0, 0.0]), (1, 1, [1.0, 0.0])], "part int, size long, c array<double>")
-    uv = spark.createDataFrame([(7, [-0.9, 0.0]), (8, [0.9, 0.0])], "id long, vec array<double>").withColumn("buffer", F.lit(0))
+    anchors = spark.createDataFrame([(0, 1, [0.0, -2.0]), (1, 1, [0.5, 3.0])], "part int, size long, c array<double>")
+    uv = spark.createDataFrame([(7, [0.2, -1.4]), (8, [0.1, 2.2])], "id long, vec array<double>").withColumn("buffer", F.lit(0))
     assert {tuple(r) for r in placement.fill_nearest(uv, anchors).select("vertex", "part").collect()} == {(7, 0), (8, 1)}
 
 
 def test_density_clusters_and_their_parts(spark):
-    e = spark.createDataFrame([(1, [0.0, 1.0]), (2, [0.0, 0.95]), (3, [1.0, 0.0]), (4, [0.95, 0.0]), (5, [5.0, 5.0]), (6, [0.0, 1.05])], "id long, vec array<double>")
+    e = spark.createDataFrame([(1, [2.0, 2.0]), (2, [2.1, 2.0]), (3, [-3.0, 0.5]), (4, [-3.0, 0.4]), (5, [9.0, -7.0]), (6, [2.0, 2.15])], "id long, vec array<double>")
     found = placement.density_clusters(e, 0.2, 2)
     assert {tuple(r) for r in found.collect()} == {(1, 1), (2, 1), (6, 1), (3, 3), (4, 3), (5, None)}
     sizes = spark.createDataFrame([(0, 10), (1, 2)], "part int, size long")
