@@ -17,4 +17,4 @@ QUERIES = {
     "op10_substring_dedup": substring_dedup.op10_substring_dedup,
 }
 
-ORACLES = {"op9_exact_dedup": exact_dedup.SQL}
+ORACLES = {"op9_exact_dedup": exact_dedup.SQL, "op10_substring_dedup": substring_dedup.SQL}

@@ -383,3 +383,14 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, freq
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = remove_repeats(common.table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
+
+
+SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+win AS (SELECT doc_id, i, array_to_string(ws[i:i + 12], ' ') AS k FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 11)) AS i FROM d WHERE len(ws) >= 13)),
+first AS (SELECT k, min(doc_id) AS low FROM win GROUP BY k),
+lost AS (SELECT DISTINCT doc_id, i + j AS place FROM win JOIN first USING (k) CROSS JOIN range(13) t(j) WHERE low < doc_id),
+words AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS place FROM d),
+kept AS (SELECT words.doc_id, string_agg(word, ' ' ORDER BY words.place) AS body, count(*) AS n FROM words LEFT JOIN lost ON lost.doc_id = words.doc_id AND lost.place = words.place WHERE lost.place IS NULL GROUP BY words.doc_id)
+SELECT d.doc_id, len(ws)::BIGINT AS n_words, (len(ws) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(body, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (doc_id)
+"""
