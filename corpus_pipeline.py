@@ -27,7 +27,7 @@ def _with_rows(docs: DataFrame) -> DataFrame:
 
 
 def by_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents without a letter (``und``); the least share rejects none more unless there are over four languages. Every row is judged by itself and gets its ROW, whether its doc_id is null or occurs again."""
+    """Rejects documents without a letter (``und``); the least share rejects none more unless there are over four languages. Every row is judged by itself and gets its ROW, whether its doc_id is null or occurs again. Columns beyond those of documents go; an empty table stays empty."""
     found = language_id.identify(docs, carry=True)
     found = found.where((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= MIN_LANGUAGE_SHARE))
     return _columns(found.withColumn(ROW, F.monotonically_increasing_id()), ROW)
@@ -77,6 +77,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens and ids of every row, rows with a null or repeated doc_id and repeated rows included; an empty text has no ids."""
     return bpe.encode_decode(docs).select("doc_id", "n_tokens", "ids")
 
 
