@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .catalog import RING, G, S, query
 from .functions import expr
-from .operators import graph, reports, stored
+from .operators import graph, reports, stored, training
 from .operators.order import buffers
 from .plans import views
 from .streaming import partitioners
@@ -260,3 +260,54 @@ def semantic_assign(spark: SparkSession, d: str) -> DataFrame:
     known = partitioners.active(first).where("vertex % 2 = 0").select("vertex", (F.col("vertex") % 4).cast("int").alias("part"))
     none = spark.createDataFrame([], "u long, v long"), spark.createDataFrame([], embeddings.EMB)
     return embeddings.semantic_push(*none, known, first, 4, n_walks=2, length=6, dim=8, epochs=1)[2]
+
+
+@query(f"WITH {S}, q AS (SELECT src, row_number() OVER (PARTITION BY src ORDER BY seq) AS at, dest FROM st WHERE seq < 3000) SELECT a.dest AS target, b.dest AS context, count(*) AS n FROM q a JOIN q b ON a.src = b.src AND abs(a.at - b.at) <= 3 AND a.at <> b.at GROUP BY 1, 2")
+def skipgram_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs within three places of each user's first events."""
+    s = views.stream_all(spark, d).where("seq < 3000")
+    paths = s.groupBy("src").agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", "dest"))), lambda x: x.dest).alias("path"))
+    return training.skipgrams(paths, 3)
+
+
+_NEG = " || chr(58) || "
+
+
+@query(f"WITH t AS (SELECT c_custkey AS target, c_nationkey::BIGINT AS context FROM customer), x AS (SELECT target, context, k, least(floor(exp({_u(_NEG.join(['target', 'context', 'k']))} * ln(51.0::DOUBLE)))::BIGINT - 1, 49) AS c FROM t, range(12) r(k)), f AS (SELECT target, c, min(k) AS k FROM x WHERE c <> context GROUP BY 1, 2), o AS (SELECT *, row_number() OVER (PARTITION BY target ORDER BY k) AS r FROM f) SELECT target, string_agg(c::VARCHAR, ' ' ORDER BY k) AS negatives FROM o WHERE r <= 3 GROUP BY target")
+def negatives_of_pairs(spark: SparkSession, d: str) -> DataFrame:
+    pairs = views.table(spark, d, "customer").select(F.col("c_custkey").alias("target"), F.col("c_nationkey").cast("long").alias("context"))
+    found = training.with_negatives(pairs, 50, 3)
+    return found.select("target", F.array_join(F.transform("negatives", lambda x: x.cast("string")), " ").alias("negatives"))
+
+
+@query(f"WITH c AS (SELECT c_custkey AS src, n_nationkey AS dst, n_nationkey + 1 AS w FROM customer, nation WHERE n_nationkey % 5 = c_custkey % 5), k AS (SELECT src, dst, -ln(1.0::DOUBLE - {_u('src || chr(58) || dst')}) / w AS x FROM c) SELECT src AS vertex, arg_min(dst, x) AS next FROM k GROUP BY src")
+def weighted_hop(spark: SparkSession, d: str) -> DataFrame:
+    c, n = views.table(spark, d, "customer"), views.table(spark, d, "nation")
+    adj = c.join(F.broadcast(n), c.c_custkey % 5 == n.n_nationkey % 5).select(F.col("c_custkey").alias("src"), F.col("n_nationkey").alias("dst"), (F.col("n_nationkey") + 1).alias("weight"))
+    return training.weighted_hops(adj)
+
+
+@query("WITH a AS (SELECT s_suppkey, row_number() OVER (ORDER BY s_suppkey) AS r FROM supplier), b AS (SELECT p_partkey, row_number() OVER (ORDER BY p_partkey) AS r FROM part) SELECT s_suppkey, p_partkey FROM a JOIN b USING (r)")
+def zip_by_position(spark: SparkSession, d: str) -> DataFrame:
+    a, b = views.table(spark, d, "supplier").select("s_suppkey"), views.table(spark, d, "part").select("p_partkey")
+    return training.zipped(a, b, "s_suppkey", "p_partkey")
+
+
+@query(f"WITH {BUF}, a AS (SELECT id AS vertex, id % 4 AS part FROM (SELECT DISTINCT src AS id FROM st UNION SELECT dest FROM st) UNION SELECT id, id % 3 FROM (SELECT DISTINCT src AS id FROM st UNION SELECT dest FROM st)), k AS (SELECT DISTINCT seq FROM b JOIN a ON a.vertex = b.src JOIN a c ON c.vertex = b.dest AND c.part = a.part) SELECT buffer, count(*) AS events, count(*) - count(k.seq) AS lost, round((count(*) - count(k.seq)) / count(*), 6) AS fraction FROM b LEFT JOIN k USING (seq) GROUP BY buffer")
+def lost_with_replicas(spark: SparkSession, d: str) -> DataFrame:
+    """Events that no part holds whole, where vertices may be in several parts."""
+    s = views.stream_all(spark, d)
+    ids = s.select(F.explode(F.array("src", "dest")).alias("vertex")).distinct()
+    assign = ids.select("vertex", (F.col("vertex") % 4).alias("part")).unionByName(ids.select("vertex", (F.col("vertex") % 3).alias("part"))).distinct()
+    return training.lost_per_buffer(buffers(s, 1000, "seq"), assign)
+
+
+@query(f"WITH {G}, c AS (SELECT k, round(1 - count(*) FILTER (u % k = v % k) / count(*), 6) AS y FROM g, range(1, 6) t(k) GROUP BY k) SELECT round(regr_slope(y, k - 1), 6) AS slope FROM c")
+def slope_of_corruption(spark: SparkSession, d: str) -> DataFrame:
+    return training.corruption_slope(views.g_purchase(spark, d), views.hashed, 5)
+
+
+@query(f"WITH {G} SELECT vertex, degree, lost, row_number() OVER (ORDER BY lost DESC, vertex)::INT AS rank FROM (SELECT src AS vertex, count(*) AS degree, count(*) FILTER (src % 4 <> dst % 4) AS lost FROM adj GROUP BY src ORDER BY lost DESC, vertex LIMIT 10)")
+def top_corrupt(spark: SparkSession, d: str) -> DataFrame:
+    g = views.g_purchase(spark, d)
+    return training.top_corrupt(g, views.hashed(g, 4))
