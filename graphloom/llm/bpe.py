@@ -27,6 +27,8 @@ from . import common
 from .units import BLOCK_BYTES, Block, Coder, Encoder, Table, common_units, id_pieces, ragged
 from .words import buffers_of
 
+#: Documents looked at for common words, and words taken from them: a bounded table that goes to every task.
+COMMON_SAMPLE, COMMON_WORDS = 16_000, 400_000
 #: Distinct words that a task holds at once while it notes them.
 NOTED_WORDS = 500_000
 
@@ -138,7 +140,7 @@ def encode_decode(docs: DataFrame, tokenizer: str | None = None, digest: bool =
     path = tokenizer or common.tokenizer_path()
     spark = docs.sparkSession
     docs = common.documents(docs)
-    usual = spark.sparkContext.broadcast(common_units(docs, path).packed())
+    usual = spark.sparkContext.broadcast(common_units(docs, path, COMMON_SAMPLE, COMMON_WORDS).packed())
     docs = common.located(docs)
     words = docs.select("text", "block").mapInArrow(_note_words(path, usual), "word binary, block long")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
