@@ -13,8 +13,6 @@ def con():
 
 @pytest.mark.parametrize("name", sorted(catalog.QUERIES))
 def test_parity(spark, con, name):
-    if name in ("nearest_neighbor", "reconstruction_f1"):
-        pytest.skip("all pairs of vectors; held against SQL at sf0.01 by the driver")
     if name not in catalog.ORACLES:
         assert catalog.QUERIES[name](spark, SF).count() > 0
         return
