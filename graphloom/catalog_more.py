@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .catalog import RING, G, S, query
-from .functions import expr
-from .operators import graph, reports, stored, training
+from .functions import expr, sql
+from .operators import graph, reports, stored, training, vectors
 from .operators.order import buffers
 from .plans import views
 from .streaming import partitioners
@@ -311,3 +311,59 @@ def slope_of_corruption(spark: SparkSession, d: str) -> DataFrame:
 def top_corrupt(spark: SparkSession, d: str) -> DataFrame:
     g = views.g_purchase(spark, d)
     return training.top_corrupt(g, views.hashed(g, 4))
+
+
+@query(f"""WITH RECURSIVE {G}, walk(id, r) AS (SELECT id, id FROM vs UNION SELECT w.id, a.dst FROM walk w JOIN adj a ON a.src = w.r), users AS (SELECT DISTINCT user_id AS id FROM events),
+dg AS (SELECT users.id, count(adj.src) AS k FROM users LEFT JOIN adj ON adj.src = users.id GROUP BY users.id), c AS (SELECT id, min(r) AS component FROM walk GROUP BY id),
+sizes AS (SELECT count(*) AS n FROM c GROUP BY component UNION ALL SELECT 1 FROM dg WHERE k = 0), top AS (SELECT n, row_number() OVER (ORDER BY n DESC) AS r FROM sizes),
+tri AS (SELECT x.src AS id, count(*) AS t2 FROM adj x JOIN adj y ON x.dst = y.src JOIN adj z ON y.dst = z.src AND z.dst = x.src GROUP BY x.src)
+SELECT 'component_' || r AS statistic, n::DOUBLE AS value FROM top WHERE r <= 3 UNION ALL SELECT 'components', count(*) FROM sizes UNION ALL SELECT 'isolates', count(*) FROM dg WHERE k = 0
+UNION ALL SELECT 'degree_' || b, (SELECT count(*) FROM dg WHERE k = b) FROM range(5) t(b)
+UNION ALL SELECT 'average_clustering', round(avg(CASE WHEN k > 1 THEN coalesce(t2, 0) / (k * (k - 1)) ELSE 0 END), 6) FROM dg LEFT JOIN tri USING (id)""")
+def graph_statistics(spark: SparkSession, d: str) -> DataFrame:
+    """Of the purchase graph, with users who never bought next to another as isolates."""
+    users = views.table(spark, d, "events").select(F.col("user_id").alias("id")).distinct()
+    return reports.graph_statistics(users, views.g_purchase(spark, d))
+
+
+@query(f"WITH {G}, other AS (SELECT DISTINCT u FROM g WHERE v % 3 = 0 UNION SELECT v FROM g WHERE v % 3 = 0) SELECT id FROM vs WHERE id NOT IN (SELECT u FROM other)")
+def vertex_difference(spark: SparkSession, d: str) -> DataFrame:
+    g = views.g_purchase(spark, d)
+    return stored.vertices_only_in(g, g.where("v % 3 = 0"))
+
+
+@query("WITH x AS (SELECT label AS part, unnest(embedding)::DOUBLE AS c, generate_subscripts(embedding, 1) AS pos FROM embeddings UNION ALL SELECT -1, unnest(embedding)::DOUBLE * s, generate_subscripts(embedding, 1) FROM embeddings, (VALUES (1), (-1)) t(s) WHERE vec_id < 10), m AS (SELECT part, pos, avg(c) AS c FROM x GROUP BY 1, 2) SELECT part, CASE WHEN max(abs(c)) > 1e-8 THEN round(sum(abs(c)), 6) END AS total FROM m GROUP BY part")
+def centroids_or_none(spark: SparkSession, d: str) -> DataFrame:
+    """Part -1 holds vectors and their opposites, so it has no centroid."""
+    e = views.vectors(spark, d)
+    some = e.where("id < 10")
+    opposite = some.withColumn("vec", F.transform("vec", lambda x: -x))
+    e = e.select(F.col("label").alias("part"), "vec").unionByName(some.unionByName(opposite).select(F.lit(-1).alias("part"), "vec"))
+    return vectors.centroids_or_none(e).select("part", F.round(F.aggregate("vec", F.lit(0.0), lambda s, x: s + F.abs(x)), 6).alias("total"))
+
+
+@query("SELECT c_custkey AS key, coalesce(CASE WHEN s_suppkey % 2 = 0 THEN s_nationkey END, c_nationkey) AS nation, coalesce(s_acctbal, c_acctbal) AS balance, c_mktsegment AS segment FROM customer LEFT JOIN supplier ON s_suppkey = c_custkey")
+def parameter_overrides(spark: SparkSession, d: str) -> DataFrame:
+    base = views.table(spark, d, "customer").select(F.col("c_custkey").alias("key"), F.col("c_nationkey").alias("nation"), F.col("c_acctbal").alias("balance"), F.col("c_mktsegment").alias("segment"))
+    other = views.table(spark, d, "supplier").select(F.col("s_suppkey").alias("key"), F.when(F.col("s_suppkey") % 2 == 0, F.col("s_nationkey")).alias("nation"), F.col("s_acctbal").alias("balance"), F.lit(0).alias("unknown"))
+    return reports.with_overrides(base, other, "key")
+
+
+@query("WITH t AS (SELECT l_returnflag, l_linenumber, avg(l_quantity) FILTER (l_linestatus = 'O') AS s, avg(l_quantity) FILTER (l_linestatus = 'F') AS p FROM lineitem GROUP BY 1, 2) SELECT l_returnflag, l_linenumber, round(s, 6) AS serial, round(p, 6) AS parallel, round(s / nullif(p, 0), 6) AS speedup FROM t")
+def time_table(spark: SparkSession, d: str) -> DataFrame:
+    return reports.time_table(views.table(spark, d, "lineitem"), ["l_returnflag", "l_linenumber"], "l_linestatus", "l_quantity", "O", "F")
+
+
+@query("SELECT l_returnflag, l_linestatus, count(*) AS runs, round(avg(l_quantity), 6) AS l_quantity_mean, round(stddev_pop(l_quantity), 6) AS l_quantity_std, round(avg(l_discount), 6) AS l_discount_mean, round(stddev_pop(l_discount), 6) AS l_discount_std FROM lineitem GROUP BY 1, 2")
+def runs_summary(spark: SparkSession, d: str) -> DataFrame:
+    return reports.runs_summary(views.table(spark, d, "lineitem"), ["l_returnflag", "l_linestatus"], ["l_quantity", "l_discount"])
+
+
+@query(f"WITH x AS (SELECT vec_id AS id, unnest(embedding)::DOUBLE AS c, generate_subscripts(embedding, 1) AS pos FROM embeddings), p AS (SELECT a.id, sum(a.c * b.c) AS dot, sum((a.c - b.c) * (a.c - b.c)) AS l2, sqrt(sum(a.c * a.c)) * sqrt(sum(b.c * b.c)) AS n FROM x a JOIN x b ON b.id = a.id + 1 AND a.pos = b.pos GROUP BY a.id) SELECT id, round(dot, 5) AS dot, round(l2, 5) AS l2, round(CASE WHEN n > 0 THEN dot / n ELSE 0 END, 5) AS cosine, round(1 / (1 + exp(-dot)), 5) AS link, round(2 * exp(-0.1::DOUBLE * id), 5) AS decayed, round({_u('id')}, 6) AS drawn, id * 1000 + id + 1 AS edge FROM p")
+def sql_kernels(spark: SparkSession, d: str) -> DataFrame:
+    """The library's expressions as functions of SQL."""
+    sql.register(spark)
+    e = views.vectors(spark, d).select("id", "vec")
+    pairs = e.join(e.select((F.col("id") - 1).alias("id"), F.col("vec").alias("other")), "id")
+    call = ["round(loom_dot(vec, other), 5) AS dot", "round(loom_l2_squared(vec, other), 5) AS l2", "round(loom_cosine(vec, other), 5) AS cosine", "round(loom_sigmoid(loom_dot(vec, other)), 5) AS link"]
+    return pairs.selectExpr("id", *call, "round(loom_decay(2, id, 0.1), 5) AS decayed", "round(loom_uniform('7', cast(id AS STRING)), 6) AS drawn", "loom_edge_index(id + 1, id, 1000) AS edge")

@@ -17,8 +17,11 @@ def mean_std(df: DataFrame, keys: list[str], metric: str) -> DataFrame:
 
 def data_profile(df: DataFrame, solver: str, calls: str, top: int) -> DataFrame:
     """solver, alpha = 0..top, share of its problems that took ``calls`` <= alpha."""
-    alpha = df.sparkSession.range(top + 1).select(F.col("id").alias("alpha"))
-    return df.select(solver, calls).crossJoin(F.broadcast(alpha)).groupBy(solver, "alpha").agg(F.round(F.avg(F.when(F.col(calls) <= F.col("alpha"), 1.0).otherwise(0.0)), 6).alias("share"))
+    # a count for each number of calls first, so that only those meet the alphas
+    few = df.groupBy(solver, F.least(F.ceil(calls), F.lit(top + 1)).alias("calls")).agg(F.count("*").alias("n"))
+    at = few.withColumn("alpha", F.explode(F.sequence(F.lit(0), F.lit(top)).cast("array<bigint>")))
+    share = F.sum(F.when(F.col("calls") <= F.col("alpha"), F.col("n")).otherwise(0)) / F.sum("n")
+    return at.groupBy(solver, "alpha").agg(F.round(share, 6).alias("share"))
 
 
 def smoothed(df: DataFrame, at: str, value: str) -> DataFrame:
@@ -87,3 +90,44 @@ def merged_or_zeros(vertices: DataFrame, emb: DataFrame, dims: int) -> DataFrame
 def fresh_rows(vertices: DataFrame, dims: int, seed: int = 7) -> DataFrame:
     """vertices(id) with first vectors, uniform in [-0.5, 0.5) / dims by digests."""
     return vertices.select("id", F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda k: (expr.uniform(seed, F.col("id"), k) - 0.5) / dims).alias("vec"))
+
+
+def graph_statistics(vertices: DataFrame, edges: DataFrame, bins: int = 5, largest: int = 3) -> DataFrame:
+    """statistic, value: sizes of the largest components, components, isolates, vertices of each degree below ``bins``, average clustering.
+
+    vertices(id) has isolates too: each is a component, and counts as 0 in the average.
+    """
+    from . import graph
+    from .stored import degrees_of
+
+    deg = degrees_of(vertices, edges)
+    sizes = graph.components(edges).groupBy("component").agg(F.count("*").alias("size")).select("size")
+    alone = deg.where("degree = 0").select(F.lit(1).cast("long").alias("size"))
+    top = sizes.orderBy(F.desc("size")).limit(largest).unionByName(alone.limit(largest))
+    top = top.agg(F.slice(F.sort_array(F.collect_list("size"), False), 1, largest).alias("s")).select(F.posexplode("s").alias("k", "value"))
+    top = top.select(F.concat(F.lit("component_"), F.col("k") + 1).alias("statistic"), F.col("value").cast("double").alias("value"))
+    counts = deg.agg(F.count_if(F.col("degree") == 0).alias("isolates"), *[F.count_if(F.col("degree") == k).alias(f"degree_{k}") for k in range(bins)])
+    counts = counts.select(F.explode(F.array(*[F.struct(F.lit(c).alias("statistic"), F.col(c).cast("double").alias("value")) for c in counts.columns])).alias("x")).select("x.*")
+    number = sizes.unionByName(alone).agg(F.count("*").cast("double").alias("value")).select(F.lit("components").alias("statistic"), "value")
+    mean = vertices.join(graph.clustering(edges), "id", "left").agg(F.round(F.avg(F.coalesce("clustering", F.lit(0.0))), 6).alias("value"))
+    return top.unionByName(counts).unionByName(number).unionByName(mean.select(F.lit("average_clustering").alias("statistic"), "value"))
+
+
+def with_overrides(base: DataFrame, overrides: DataFrame, key: str) -> DataFrame:
+    """base, with the values that ``overrides`` has for a key in place of its own; a null there keeps base's value."""
+    other = overrides.select(key, *[F.col(c).alias(f"_{c}") for c in overrides.columns if c != key and c in base.columns])
+    joined = base.join(other, key, "left")
+    return joined.select(*[F.coalesce(f"_{c}", c).alias(c) if f"_{c}" in other.columns else F.col(c) for c in base.columns])
+
+
+def time_table(runs: DataFrame, keys: list[str], mode: str, seconds: str, serial, parallel) -> DataFrame:
+    """keys, serial, parallel, speedup: mean times of two modes side by side; null where a mode has no run."""
+    one, two = (F.avg(F.when(F.col(mode) == x, F.col(seconds))) for x in (serial, parallel))
+    rows = runs.groupBy(*keys).agg(one.alias("serial"), two.alias("parallel"))
+    return rows.select(*keys, F.round("serial", 6).alias("serial"), F.round("parallel", 6).alias("parallel"), F.round(F.try_divide("serial", "parallel"), 6).alias("speedup"))
+
+
+def runs_summary(runs: DataFrame, keys: list[str], metrics: list[str]) -> DataFrame:
+    """keys, runs, and the mean and population deviation of each metric over the runs."""
+    both = [f(m, n) for m in metrics for f, n in ((lambda m, n: F.round(F.avg(m), 6).alias(f"{m}_{n}"), "mean"), (lambda m, n: F.round(F.stddev_pop(m), 6).alias(f"{m}_{n}"), "std"))]
+    return runs.groupBy(*keys).agg(F.count("*").alias("runs"), *both)

@@ -44,6 +44,30 @@ def neighbours(edges: DataFrame) -> DataFrame:
     return graph.symmetric(edges).groupBy(F.col("src").alias("id")).agg(F.sort_array(F.collect_set("dst")).alias("near"))
 
 
+def vertices_only_in(a: DataFrame, b: DataFrame) -> DataFrame:
+    """id of vertices that a's edges name and b's don't."""
+    return graph.vertices(a).join(graph.vertices(b), "id", "left_anti")
+
+
+def copied(spark: SparkSession, place: str, target: str, replace: bool = False) -> DataFrame:
+    """A stored table (Parquet) in another folder, its part folders too; raises if that exists, unless it is to be replaced."""
+    rows = spark.read.parquet(place)
+    folders = [f for f in ("part", "shard") if f in rows.columns and _has_folders(spark, place, f)]
+    rows.write.partitionBy(*folders).mode("overwrite" if replace else "errorifexists").parquet(target)
+    return spark.read.parquet(target)
+
+
+def _has_folders(spark: SparkSession, place: str, column: str) -> bool:
+    path = spark._jvm.org.apache.hadoop.fs.Path(place)
+    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path)
+    return any(x.getPath().getName().startswith(f"{column}=") for x in found)
+
+
+def appended(rows: DataFrame, target: str, first: bool) -> None:
+    """One chunk of a table that arrives in chunks: the first replaces what is there, the others add to it."""
+    rows.write.mode("overwrite" if first else "append").parquet(target)
+
+
 def degrees_of(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     """id, degree of all vertices, 0 for those without an edge."""
     return vertices.select("id").join(graph.degree(edges), "id", "left").select("id", F.coalesce("degree", F.lit(0)).alias("degree"))

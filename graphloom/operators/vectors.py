@@ -90,8 +90,27 @@ def nearest_other(emb: DataFrame, queries: DataFrame) -> DataFrame:
     return found.groupBy("i").agg(F.min(F.struct("d", "j")).alias("m")).select("i", F.col("m.j").alias("j"), F.round("m.d", 6).alias("d"))
 
 
-def nearest_centroid(emb: DataFrame, centroids: DataFrame, k: int = 1) -> DataFrame:
-    """The k best parts of each vector by cosine; centroids(part, c): one row per part."""
-    scored = emb.crossJoin(F.broadcast(centroids)).withColumn("score", F.round(expr.cosine(F.col("vec"), F.col("c")), 6))
+#: Centroid values that go to every task; more are dealt in blocks.
+BROADCAST_VALUES = 4_000_000
+
+
+def centroids_or_none(emb: DataFrame, key: str = "part", vec: str = "vec") -> DataFrame:
+    """key, vec: the mean of a key's vectors; null where it is all but zero."""
+    return merge_mean(emb, key, vec).select(key, F.when(~expr.all_close_to_zero(F.col(vec)), F.col(vec)).alias(vec))
+
+
+def nearest_centroid(emb: DataFrame, centroids: DataFrame, k: int = 1, most: int = BROADCAST_VALUES) -> DataFrame:
+    """The k best parts of each vector by cosine; centroids(part, c): one row per part.
+
+    Blocks of BLOCK_ROWS centroids each meet all vectors and leave k for each. Up to ``most`` values in all, the blocks
+    are broadcast; beyond that, vectors and blocks meet by a shuffle.
+    """
+    size = centroids.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.size("c")), F.lit(0)).alias("values")).first()
+    blocks = max(1, -(-size["n"] // BLOCK_ROWS))
+    held = centroids.groupBy(F.pmod(F.xxhash64("part"), F.lit(blocks)).cast("int").alias("b")).agg(F.collect_list(F.struct("part", "c")).alias("own"))
+    asked = emb.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    met = asked.join(F.broadcast(held) if size["values"] <= most else held.hint("shuffle_hash"), "b")
+    scored = F.transform("own", lambda s: F.struct((-F.round(expr.cosine(F.col("vec"), s.c), 6)).alias("less"), s.part.alias("part")))
+    near = met.select("id", F.explode(F.slice(F.array_sort(scored), 1, k)).alias("m")).select("id", "m.part", (-F.col("m.less")).alias("score"))
     rank = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("score"), "part"))
-    return scored.withColumn("rank", rank).where(F.col("rank") <= k).select("id", "part", "score", F.col("rank").cast("int").alias("rank"))
+    return near.withColumn("rank", rank).where(F.col("rank") <= k).select("id", "part", F.round(F.col("score") + 0.0, 6).alias("score"), F.col("rank").cast("int").alias("rank"))
