@@ -29,13 +29,18 @@ def with_position(df: DataFrame, key: str, name: str = "pos") -> DataFrame:
     Rows are numbered within their range and get the range's offset; only the sizes of the ranges are collected.
     """
     ranged = ranges(df, key)
-    before, offsets = 0, []
+    before, offsets = 0, {}
     for r in sorted(ranged.groupBy("_range").agg(F.count("*").alias("n")).collect(), key=lambda r: r["_range"]):
-        offsets.append((r["_range"], before))
+        offsets[r["_range"]] = before
         before += r["n"]
-    table = F.broadcast(df.sparkSession.createDataFrame(offsets, "_range int, _before long"))
     inside = F.row_number().over(Window.partitionBy("_range").orderBy(key)) - 1
-    return ranged.withColumn("_at", inside).join(table, "_range").withColumn(name, F.col("_before") + F.col("_at")).drop("_range", "_at", "_before")
+    return ranged.withColumn(name, inside + _of_range(offsets, "long")).drop("_range")
+
+
+def _of_range(values: dict, kind: str) -> Column:
+    """The value of a row's range, null without one: a literal of the plan with an entry for each range."""
+    held = F.array(*[F.lit(values.get(r)).cast(kind) for r in range(max(values, default=-1) + 1)]).cast(f"array<{kind}>")
+    return F.get(held, F.col("_range"))
 
 
 def with_next(df: DataFrame, key: str, value: str, name: str) -> DataFrame:
@@ -46,12 +51,12 @@ def with_next(df: DataFrame, key: str, value: str, name: str) -> DataFrame:
     ranged = ranges(df, key)
     first = {r["_range"]: r["first"] for r in ranged.groupBy("_range").agg(F.min(F.struct(key, value)).alias("first")).collect()}
     after = sorted(first)
-    edges = [(r, *first[s]) for r, s in zip(after[:-1], after[1:], strict=True)]
-    kinds = f"_range int, _key {df.schema[key].dataType.simpleString()}, _value {df.schema[value].dataType.simpleString()}"
-    table = F.broadcast(df.sparkSession.createDataFrame(edges, kinds)).select("_range", F.struct(F.col("_key").alias(key), F.col("_value").alias(value)).alias("_edge"))
+    edge = {r: first[s] for r, s in zip(after[:-1], after[1:], strict=True)}
+    parts = [_of_range({r: x[c] for r, x in edge.items()}, df.schema[c].dataType.simpleString()).alias(c) for c in (key, value)]
     following = F.lead(F.struct(key, value)).over(Window.partitionBy("_range").orderBy(key))
-    found = ranged.withColumn("_next", following).join(table, "_range", "left").withColumn("_next", F.coalesce("_next", "_edge"))
-    return found.where("_next is not null").withColumn(name, F.col("_next")[value]).drop("_range", "_next", "_edge")
+    last = F.when(F.col("_range").isin(*edge) if edge else F.lit(False), F.struct(*parts))
+    found = ranged.withColumn("_next", F.coalesce(following, last))
+    return found.where("_next is not null").withColumn(name, F.col("_next")[value]).drop("_range", "_next")
 
 
 def buffers(df: DataFrame, size: int, key: str) -> DataFrame:
