@@ -6,6 +6,7 @@ Events are (seq, src, dest, ts, op, attrs). A path is one file; ``seq`` ascends
 from __future__ import annotations
 
 import io
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -93,19 +94,54 @@ def edge_json(spark: SparkSession, path: str, dotted: str = "") -> DataFrame:
     return pairs.select(F.col("p")[0].cast("long").alias("src"), F.col("p")[1].cast("long").alias("dest"))
 
 
-def gml(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """vertices(id) and canonical edges(u, v) of a GML file with integer ids; labels that are integers name vertices."""
-    text = spark.read.text(path, wholetext=True)
+_TOKEN = re.compile(r'\[|\]|"[^"]*"|[^\s\[\]"]+')
 
-    def blocks(kind: str) -> DataFrame:
-        return text.select(F.explode(F.regexp_extract_all("value", F.lit(rf"(?s)\b{kind}\s*\[([^\]]*)\]"), F.lit(1))).alias("b"))
 
-    def field(name: str):
-        return F.regexp_extract("b", rf'\b{name}\s+"?(-?\d+)', 1)
-
-    nodes = blocks("node").select(field("id").cast("long").alias("node"), F.expr("cast(nullif(" + r"regexp_extract(b, '\\blabel\\s+\"?(-?\\d+)', 1)" + ", '') as long)").alias("label"))
+def _gml_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """kind, a, b of the nodes (id, label) and edges (source, target) directly inside a graph; blocks within them are passed over."""
+    named = {"node": ("id", "label"), "edge": ("source", "target")}
+    for batch in batches:
+        for text in batch.column(0).to_pylist():
+            out, stack, key = [], [], None
+            for line in io.StringIO(text):
+                if line.lstrip().startswith("#"):
+                    continue
+                for token in _TOKEN.findall(line):
+                    if token == "[":
+                        stack.append((key, {}))
+                        key = None
+                    elif token == "]":
+                        if not stack or key is not None:
+                            raise ValueError("brackets or values don't match")
+                        kind, own = stack.pop()
+                        if kind in named and stack and stack[-1][0] == "graph":
+                            out.append((kind, *(own.get(k) for k in named[kind])))
+                    elif key is None:
+                        key = token
+                    else:
+                        if stack:
+                            stack[-1][1][key] = token.strip('"')
+                        key = None
+                if len(out) >= 10_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*out, strict=True)], names=["kind", "a", "b"])
+                    out = []
+            if stack:
+                raise ValueError("a block isn't closed")
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*out, strict=True)], names=["kind", "a", "b"])
+
+
+def gml(spark: SparkSession, path: str, by_id: bool = False) -> tuple[DataFrame, DataFrame]:
+    """vertices(id) and canonical edges(u, v) of a GML file with integer ids.
+
+    Vertices are named by their labels, by their ids where they have none or with ``by_id``; a label that isn't an
+    integer raises. Blocks may nest and stand on one line; a quoted value doesn't span lines. A file is read by one task.
+    """
+    found = spark.read.text(path, wholetext=True).mapInArrow(_gml_blocks, "kind string, a string, b string")
+    label = F.lit(None).cast("long") if by_id else F.col("b").cast("long")
+    nodes = found.where("kind = 'node'").select(F.col("a").cast("long").alias("node"), label.alias("label"))
+    ends = found.where("kind = 'edge'").select(F.col("a").cast("long").alias("s"), F.col("b").cast("long").alias("t"))
     nodes = nodes.select("node", F.coalesce("label", "node").alias("id"))
-    ends = blocks("edge").select(field("source").cast("long").alias("s"), field("target").cast("long").alias("t"))
     named = ends.join(nodes.select(F.col("node").alias("s"), F.col("id").alias("src")), "s").join(nodes.select(F.col("node").alias("t"), F.col("id").alias("dest")), "t")
     return nodes.select("id"), graph.canonical(named)
 

@@ -8,7 +8,7 @@ from graphloom import catalog
 from graphloom.functions import sql
 from graphloom.operators import reports, stored, vectors
 from graphloom.plans import extend
-from graphloom.sources import registry
+from graphloom.sources import files, registry
 
 
 def test_implementations_and_listeners():
@@ -80,6 +80,24 @@ def test_centroids_beyond_the_broadcast_and_in_blocks(spark, monkeypatch):
     assert vectors.nearest_centroid(emb, parts.limit(0), 3).count() == 0
 
 
+def test_gml_with_nested_blocks(spark, tmp_path):
+    body = 'graph [\n  # a note ]\n  directed 0\n  node [ id 0 label "7" graphics [ x 1 y [ z "a ] b" ] ] ]\n  node [ id 1\n graphics [ id 99 ] label "8" ]\n  node [ id 2 ]\n  edge [ source 1 target 0 data [ source 5 ] ]\n  edge [ source 2 target 1 ]\n  edge [ source 1 target 2 ]\n]\n'
+    (tmp_path / "a.gml").write_text(body)
+    vertices, edges = files.gml(spark, str(tmp_path / "a.gml"))
+    assert sorted(r["id"] for r in vertices.collect()) == [2, 7, 8] and sorted(map(tuple, edges.collect())) == [(2, 8), (7, 8)]
+    vertices, edges = files.gml(spark, str(tmp_path / "a.gml"), by_id=True)
+    assert sorted(r["id"] for r in vertices.collect()) == [0, 1, 2] and sorted(map(tuple, edges.collect())) == [(0, 1), (1, 2)]
+    (tmp_path / "b.gml").write_text('graph [ node [ id 0 label "name" ] ]')
+    with pytest.raises(Exception, match="(?i)cast"):
+        files.gml(spark, str(tmp_path / "b.gml"))[0].collect()
+    assert files.gml(spark, str(tmp_path / "b.gml"), by_id=True)[0].count() == 1
+    (tmp_path / "c.gml").write_text("graph [ node [ id 0 ]")
+    with pytest.raises(Exception, match="closed"):
+        files.gml(spark, str(tmp_path / "c.gml"))[0].collect()
+    (tmp_path / "d.gml").write_text("graph [ ]")
+    assert files.gml(spark, str(tmp_path / "d.gml"))[1].count() == 0
+
+
 def test_copies_and_chunks(spark, tmp_path):
     a, b = f"{tmp_path}/a", f"{tmp_path}/b"
     for k in range(3):
